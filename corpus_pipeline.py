@@ -1,12 +1,66 @@
-"""A corpus pipeline of the operators in skarn.llm."""
+"""A corpus pipeline: five stages of skarn.llm, each written as Parquet and read again as the next one's documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from skarn.llm import mixing, quality
+from skarn.llm.common import shared_folder, table
+from skarn.llm.decontaminate import decontaminate
+from skarn.llm.ngram_join import ngram_jaccard_join
+from skarn.llm.secret_scan import secret_scan_in_place
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.quality_scores(docs, model).where("keep").select(docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the least doc_id.
+
+    Rows without doc_id stay; rows that repeat a doc_id are one document and leave one row."""
+    found = ngram_jaccard_join(docs, k=5, percent=80)
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    out = docs.join(kept, "doc_id")
+    single, repeated = out.where("_rows = 1"), out.where("_rows > 1").dropDuplicates(["doc_id"])
+    return single.unionByName(repeated).drop("_rows").unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced and n_chars to match."""
+    return secret_scan_in_place(docs, mask="<SECRET>")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their texts, with n_tokens and the rate at which each is to be drawn."""
+    model = mixing.train(docs, table(spark, sf_dir, "labels"), list(mixing.TARGETS))
+    return mixing.mix_to_targets(docs, model, mixing.TARGETS)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicates_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("mixing sources to target weights", mixing_stage),
+]
+
+#: No SQL: three stages rest on trained models.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_folder(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
