@@ -2,9 +2,10 @@
 
 Trees are fitted on a bounded sample: each node splits its sample by the plane midway between two
 random members.  Every row is then sent to its leaf in each tree.  A query walks all trees through
-one priority queue, nearest side first, until the leaves taken hold a set number of sample
-points; the candidates of those leaves are reranked by the exact inner product in double
-precision.  Largest inner product becomes nearest direction by one more coordinate that gives all
+one priority queue, by the squared distance to the planes it has crossed, until the leaves taken
+hold a set number of sample points; the candidates of those leaves are reranked by the exact
+inner product in double precision.  The scores of the sample points in those leaves, which are
+candidates themselves, bound what is worth sending on.  Largest inner product becomes nearest direction by one more coordinate that gives all
 indexed vectors one length.  Equal vectors are indexed once, with the least ids that a
 result can need; results expand to them.  Leaves are never cut off: one that holds more rows
 than a batch is scored batch by batch.
@@ -19,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, width
+from .common import checkpoint
 
 LEAF = 48
+LEAVES = 96
 
 
 class Tree:
@@ -31,8 +33,11 @@ class Tree:
         r = np.random.default_rng(seed)
         self.normal, self.offset, self.child, self.size = [], [], [], []
 
+        self.home = np.zeros(len(sample), np.int64)
+        most = max(LEAF, len(sample) // LEAVES)
+
         def grow(rows: np.ndarray, depth: int) -> int:
-            if len(rows) > LEAF and depth < 40:
+            if len(rows) > most and depth < 40:
                 for _ in range(5):
                     a, b = sample[r.choice(rows, 2, replace=False)]
                     normal = (a - b) / max(np.linalg.norm(a - b), 1e-12)
@@ -45,6 +50,7 @@ class Tree:
                         self.child.append([0, 0])
                         self.child[at] = [grow(rows[left], depth + 1), grow(rows[~left], depth + 1)]
                         return at
+            self.home[rows] = len(self.size)
             self.size.append(len(rows))
             return -len(self.size)
 
@@ -67,7 +73,7 @@ class Forest:
         self.top = top
         lifted = self.lift(sample)
         self.trees = [Tree(lifted, seed + t) for t in range(trees)]
-        self.held = len(sample)
+        self.sample = sample
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(0, self.top - (x * x).sum(1)))[:, None]])
@@ -76,7 +82,7 @@ class Forest:
         """(tree, leaf) pairs, by one queue over all trees, until they hold ``enough`` sample points."""
         length = np.linalg.norm(q)
         q = np.append(q / length if length else q, 0.0) * np.sqrt(self.top)
-        queue = [(-np.inf, t, tree.root) for t, tree in enumerate(self.trees)]
+        queue = [(0.0, t, tree.root) for t, tree in enumerate(self.trees)]
         margins = [tree.normal @ q - tree.offset if len(tree.offset) else np.zeros(0) for tree in self.trees]
         heapq.heapify(queue)
         out, got = [], 0
@@ -85,12 +91,22 @@ class Forest:
             while node >= 0:
                 m = margins[t][node]
                 near, far = self.trees[t].child[node][:: -1 if m >= 0 else 1]
-                heapq.heappush(queue, (max(key, abs(m)), t, int(far)))
+                heapq.heappush(queue, (key + m * m, t, int(far)))
                 node = int(near)
             out.append((t, -1 - node))
             got += self.trees[t].size[-1 - node]
         return out
 
+    def bound(self, q: np.ndarray, taken: list[tuple[int, int]], k: int) -> float:
+        """A score that the k + 1 best sample points of the taken leaves reach."""
+        seen = np.zeros(len(self.sample), bool)
+        for t, tree in enumerate(self.trees):
+            mine = np.zeros(len(tree.size), bool)
+            mine[[n for s, n in taken if s == t]] = True
+            seen |= mine[tree.home]
+        z = self.sample[seen] @ q
+        return float(np.partition(z, -(k + 1))[-(k + 1)]) - 1e-9 if len(z) > k else -np.inf
+
 
 def _place(forest: Forest):
     def run(batches):
@@ -104,17 +120,20 @@ def _place(forest: Forest):
     return run
 
 
-def _ask(forest: Forest, enough: int):
+def _ask(forest: Forest, enough: int, k: int):
     def run(batches):
         for batch in batches:
-            x, rows, tree, leaf = _matrix(batch.column("v")), [], [], []
+            x, rows, tree, leaf, bound = _matrix(batch.column("v")), [], [], [], []
             for i, q in enumerate(x):
-                for t, n in forest.search(q, enough):
+                taken = forest.search(q, enough)
+                least = forest.bound(q, taken, k)
+                for t, n in taken:
                     rows.append(i)
                     tree.append(t)
                     leaf.append(n)
+                    bound.append(least)
             rows = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), batch.column("query_id").take(rows), batch.column("v").take(rows)], names=["tree", "leaf", "query_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), batch.column("query_id").take(rows), batch.column("v").take(rows), pa.array(bound, pa.float64())], names=["tree", "leaf", "query_id", "v", "bound"])
 
     return run
 
@@ -132,11 +151,11 @@ def _score(k: int):
         if index.num_rows and asked.num_rows:
             x, q = _matrix(index.column("v")), _matrix(asked.column("v"))
             members, first = index.column("ids").to_pylist(), np.array([i[0] for i in index.column("ids").to_pylist()])
-            names = asked.column("query_id").to_pylist()
+            names, bound = asked.column("query_id").to_pylist(), asked.column("bound").to_numpy()
             for a in range(0, len(q), 256):
                 z = q[a : a + 256] @ x.T
                 for r in range(len(z)):
-                    near = np.flatnonzero(z[r] >= np.partition(z[r], -(k + 1))[-(k + 1)]) if len(x) > k + 1 else np.arange(len(x))
+                    near = np.flatnonzero(z[r] >= bound[a + r])
                     near = near[np.lexsort((first[near], -z[r][near]))][: k + 1]
                     query += [names[a + r]] * len(near)
                     ids += [members[n] for n in near]
@@ -146,7 +165,7 @@ def _score(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 6, sample: int = 20_000, effort: float = 0.25) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 4, sample: int = 20_000, effort: float = 1.0) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each vec_id divisible by ``every`` its ``k`` nearest.
 
     ``vectors`` has vec_id (integer) and embedding; other columns are ignored.  Nearness is the
@@ -154,13 +173,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 6, sa
     candidate.  Rows without vec_id take no part, nor vectors that are null, empty, zero or
     hold null or non-finite components, nor those of another length than the most frequent.
     Repeated rows count once.  ``sample`` bounds the vectors that trees are fitted on;
-    ``effort`` is the share of the sample that a query's leaves hold, so that small tables are
-    searched as wide as large ones.  An empty table gives an empty result.
+    ``effort`` is how many sample points a query's leaves hold over all trees, as a multiple of the
+    sample (at most ``trees``); vectors without structure need about 1 for a recall over 0.9.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
     lengths = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
@@ -168,14 +187,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 6, sa
     v = v.where(F.size("embedding") == lengths["n"]).distinct()
     numbered = v.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     classes = checkpoint(numbered.groupBy(F.col("embedding").alias("v")).agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     top = classes.agg(F.max(norm).alias("m")).first()["m"]
     rows = classes.select("v", F.xxhash64("v").alias("o")).orderBy("o", "v").limit(sample).collect()  # ``sample`` rows: a stated bound
     forest = Forest(np.array([r["v"] for r in rows]), top, trees)
-    enough = int(max(effort * len(rows), min(len(rows), 40 * k))) * 1 + 1
-    p = width(spark)
-    index = classes.mapInArrow(_place(forest), "tree int, leaf int, ids array<long>, v array<double>")
-    asked = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")).mapInArrow(_ask(forest, enough), "tree int, leaf int, query_id long, v array<double>")
+    enough = int(max(effort * len(rows), min(len(rows) * trees, 40 * k)))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    index = classes.mapInArrow(_place(forest), f"tree int, leaf int, ids array<long>, v {kind}")
+    asked = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")).mapInArrow(_ask(forest, enough, k), f"tree int, leaf int, query_id long, v {kind}, bound double")
     found = index.groupBy("tree", "leaf").cogroup(asked.groupBy("tree", "leaf")).applyInArrow(_score(k), "query_id long, ids array<long>, score double")
     pairs = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
