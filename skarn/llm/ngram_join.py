@@ -6,9 +6,10 @@ similarity reaches a threshold.  The join is exact; nothing is sampled or capped
 1. *Groups.*  A set is hashed into groups.  A link of sets with at most t differences leaves
    all but t groups equal, so with more than t groups some group has equal content on both
    sides (pigeonhole).  The number of groups is fixed per band of set sizes; a set near a
-   band's lower end also enters the band below.  Groups of fewer than two shingles say little
-   and are left out as long as a set has no more of them than the spare groups allow for;
-   otherwise all of its groups are entered, so no link is lost.
+   band's lower end also enters the band below.  Small groups say little, so there are some
+   groups to spare, s, and each set leaves out its s smallest ones.  At least s + 1 groups of a
+   linked pair are equal; equal groups rank alike on both sides, so the largest of them has s
+   equal ones below it and is entered by both: no link is lost.
 2. *Blocks.*  Sets that share a group's content are tied to the least of them (a star, not all
    pairs); the connected components are the blocks.  Equal sets are one member throughout.
 3. *R-tree.*  Within a block, members' group counts are points of an R-tree.  A node's or a
@@ -19,7 +20,6 @@ similarity reaches a threshold.  The join is exact; nothing is sampled or capped
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,17 +75,10 @@ class Bands:
         return int(np.searchsorted(self.edges, n, side="right")) - 1
 
     def groups(self, band: int) -> tuple[int, int]:
-        """(groups, groups that may be left out) of a band."""
+        """(groups, groups that are left out) of a band."""
         if band not in self.known:
-            p, (low, high) = self.percent, (self.edges[band], self.edges[band + 1] - 1)
-            most = high * (100 - p) // p  # differences of a linked pair whose smaller set is in the band
-            spare = 0
-            if most:
-                for _ in range(6):
-                    m = most + 1 + spare
-                    load = low / m
-                    weak = m * math.exp(-load) * (1 + load)
-                    spare = min(m, math.ceil(weak + 3 * math.sqrt(weak)))
+            most = (self.edges[band + 1] - 1) * (100 - self.percent) // self.percent  # differences of a linked pair whose smaller set is in the band
+            spare = -(-(most + 1) // 4) if most else 0
             self.known[band] = (most + 1 + spare, spare)
         return self.known[band]
 
@@ -106,9 +99,7 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
             np.add.at(content, g, mix(s ^ _C))
             sig = mix(content ^ mix(np.arange(m, dtype=np.uint64) + (U(band + 1) << U(32))))
         if spare:
-            weak = np.bincount(g, minlength=m) < 2
-            if weak.sum() <= spare:
-                sig = sig[~weak]
+            sig = sig[np.lexsort((sig, np.bincount(g, minlength=m)))[spare:]]
         out.append(sig)
     return np.concatenate(out)
 
