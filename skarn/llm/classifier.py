@@ -8,6 +8,7 @@ import pyarrow as pa
 from .textkit import Words, alphanumeric, byte_values, runs
 
 SHAPE = 9
+LOW = np.uint64((1 << 44) - 1)
 
 
 def _classes() -> np.ndarray:
@@ -22,7 +23,9 @@ def _classes() -> np.ndarray:
 
 
 def describe(texts: pa.Array, chosen: np.ndarray | None = None):
-    """Per run of documents (first row, shape matrix, counts of the chosen words, word hashes by document)."""
+    """Per run of documents (first row, shape matrix, counts of the chosen words, distinct (document, word) pairs).
+
+    Words that are not chosen count by the low 44 bits of their hashes."""
     classes, ok, values = _classes(), alphanumeric(), byte_values(True)
     for i, j, data, offsets in runs(texts):
         w, n = Words(data, offsets, ok, values), j - i
@@ -37,19 +40,19 @@ def describe(texts: pa.Array, chosen: np.ndarray | None = None):
         total = np.maximum(1, words)
         again = np.zeros(len(w.hash), bool)
         again[1:] = (w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1])
-        order = np.lexsort((w.hash, doc))
-        d, h = doc[order], w.hash[order]
-        new = np.r_[np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
-        distinct = np.bincount(d[new], minlength=n)
+        pairs = np.unique((doc.astype(np.uint64) << np.uint64(44)) | (w.hash & LOW))
+        d = (pairs >> np.uint64(44)).astype(np.int64)
+        distinct = np.bincount(d, minlength=n)
         # Long texts repeat words by nature: what counts is the share beyond a power law of their length.
         variety = np.where(words > 0, np.log(np.maximum(1, distinct)) - 0.8 * np.log(total), 0)
         shape = np.stack([*share, np.bincount(doc, again, minlength=n) / total, variety, np.log1p(words), (size / total)], 1)
         counts = None
         if chosen is not None and len(chosen):
-            at = np.minimum(np.searchsorted(chosen, w.hash), len(chosen) - 1)
-            hit = chosen[at] == w.hash
+            low = w.hash & LOW
+            at = np.minimum(np.searchsorted(chosen, low), len(chosen) - 1)
+            hit = chosen[at] == low
             counts = np.bincount(doc[hit] * len(chosen) + at[hit], minlength=n * len(chosen)).reshape(n, len(chosen))
-        yield i, shape, counts, (d[new], h[new])
+        yield i, shape, counts, (d, pairs & LOW)
 
 
 class Classifier:
