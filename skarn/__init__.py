@@ -1,0 +1 @@
+"""Retrieval and text analytics over corpora, as Spark DataFrame plans."""
