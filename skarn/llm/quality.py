@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .classifier import Classifier
+from .common import checkpoint
 from .textkit import runs
 
 LABELS = ["good", "low", "toxic"]
 MAX_STRENGTH = 1e4
+MAX_BROADCAST_SITES = 50_000
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Classifier | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Classifier | None:
     """Fits on at most ``sample`` labelled documents, the first by a hash of doc_id; None without labels."""
     labels = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).alias("y"))
     first = labels.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -59,8 +61,10 @@ def _strength(n: Column, rate: Column, mean: Column) -> Column:
 
 
 def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """Rows (_host, _path, host_rate, path_rate, base_rate) from (_host, _path, _bad): grouped sums only."""
-    paths = evidence.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), F.sum("_bad").alias("bad"))
+    """Rows (_host, _path, host_rate, path_rate, base_rate) from (_host, _path, _bad): grouped sums only.
+
+    The sums per path are kept, as several levels read them and texts should be read once."""
+    paths = checkpoint(evidence.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), F.sum("_bad").alias("bad")))
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
     base = hosts.agg(((F.sum("host_bad") + 0.5) / (F.sum("host_n") + 1)).alias("base_rate"))
     hosts = hosts.join(F.broadcast(base), how="cross")  # one row: the corpus
@@ -86,6 +90,9 @@ def quality_scores(docs: DataFrame, model: Classifier | None, host: str = "sourc
     """
     placed = docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn("_path", F.coalesce(F.col(path).cast("string"), F.lit("")))
     sites = site_posteriors(with_evidence(placed.select("text", "_host", "_path"), model).select("_host", "_path", "_bad"))
+    sites = checkpoint(sites)
+    if sites.count() <= MAX_BROADCAST_SITES:  # else the planner shuffles texts to meet the sites
+        sites = F.broadcast(sites)
     joined = with_evidence(placed, model).join(sites, ["_host", "_path"])
     score = 1 / (1 + F.exp(-(_logit(F.col("_bad")) + _logit(F.col("path_rate")) - _logit(F.col("base_rate")))))
     out = joined.withColumn("score", score)
