@@ -47,6 +47,18 @@ def parts(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 
 
+def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """At most ``most`` of the rows, those first by a hash of ``key``; all rows if there are no more.
+
+    The count tells which share of the hash's range to keep, so no task sends the driver more than
+    its part of the sample."""
+    order, span = F.shiftrightunsigned(F.xxhash64(*key), 2), 1 << 62
+    n = rows.count()
+    if n > most:
+        rows = rows.where(order < int(min(1.0, 1.3 * most / n + 200 / n) * span))
+    return rows.withColumn("_order", order).orderBy("_order", *key).limit(most).drop("_order")
+
+
 class Router:
     """Packs fixed-width entries into one binary row per bucket and flush.
 

@@ -49,7 +49,7 @@ def held_out(doc_id=F.col("doc_id")):
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    learn = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("text", "lang", F.xxhash64("doc_id").alias("order"))
+    learn = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     model = languages.train(learn)
     return languages.language_id(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
