@@ -4,7 +4,7 @@ Candidates are runs of ``[A-Za-z0-9+/_.=-]`` of ``SHORTEST`` characters or more
 letter, anywhere in the whole text.  The network reads a candidate and its context on both
 sides: character embedding, one convolution, max pooling, a dense layer.  It is trained in
 numpy on labelled findings of the corpus at hand (findings of the patterns against other runs
-of characters), a bounded number of each by the order of a hash.  Scores are calibrated by Platt
+of characters), a bounded number of each, from a bounded sample of documents, by hash.  Scores are calibrated by Platt
 scaling on a held-out fifth, and the threshold is the highest that keeps the wanted recall there.
 """
 
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample, checkpoint
 from .textkit import buffers
 
 SHORTEST = 16
@@ -90,7 +91,7 @@ class CharCNN:
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.15, seed: int = 11) -> None:
         r = np.random.default_rng(seed)
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-600 * 64 // len(x)))):  # 600 steps at least
             order = r.permutation(len(x))
             for a in range(0, len(x), 64):
                 rows = order[a : a + 64]
@@ -178,10 +179,13 @@ def _examples(batches):
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(windows, pa.string()), pa.array(order, pa.int64())], names=["label", "window", "order"])
 
 
-def train(docs: DataFrame, examples: int = 3000, recall: float = 0.99, least: float = 0.9) -> CharCNN | None:
-    """Fits the network on at most ``examples`` labelled findings of each kind; None without both kinds."""
-    found = docs.select("text").mapInArrow(_examples, "label int, window string, order long")
-    rows = [r for kind in (0, 1) for r in found.where(F.col("label") == kind).orderBy("order", "window").limit(examples).collect()]
+def train(docs: DataFrame, examples: int = 3000, recall: float = 0.99, least: float = 0.5, sample: int = 20_000) -> CharCNN | None:
+    """Fits the network on at most ``examples`` labelled findings of each kind, from at most ``sample``
+    documents by a hash of doc_id; None without both kinds."""
+    learn = bounded_sample(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id"), sample, "doc_id").distinct()
+    learn = docs.join(F.broadcast(learn), "doc_id", "left_semi")  # ``sample`` ids: a stated bound
+    found = checkpoint(learn.select("text").mapInArrow(_examples, "label int, window string, order long"))
+    rows = [r for kind in (0, 1) for r in bounded_sample(found.where(F.col("label") == kind), examples, "order", "window").collect()]
     y = np.array([r["label"] for r in rows], float)
     if not len(rows) or y.min() == y.max():
         return None
