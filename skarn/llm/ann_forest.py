@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import bounded_sample, checkpoint
 
 LEAF = 48
 LEAVES = 96
@@ -189,7 +189,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 4, sa
     classes = checkpoint(numbered.groupBy(F.col("embedding").alias("v")).agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     top = classes.agg(F.max(norm).alias("m")).first()["m"]
-    rows = classes.select("v", F.xxhash64("v").alias("o")).orderBy("o", "v").limit(sample).collect()  # ``sample`` rows: a stated bound
+    rows = bounded_sample(classes.select("v"), sample, "v").collect()  # ``sample`` rows: a stated bound
     forest = Forest(np.array([r["v"] for r in rows]), top, trees)
     enough = int(max(effort * len(rows), min(len(rows) * trees, 40 * k)))
     kind = vectors.schema["embedding"].dataType.simpleString()

@@ -16,18 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classifier import Classifier
-from .common import checkpoint
+from .common import bounded_sample, checkpoint
 from .textkit import Words, not_space, byte_values, runs
 
 #: Shares of tokens that the mixture aims at, by domain.
 TARGETS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15, "junk": 0.0}
 
 
-def train(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = 4000) -> Classifier | None:
+def train(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = 3000) -> Classifier | None:
     """Fits on at most ``sample`` labelled documents: domain junk if low or toxic, else the language."""
     labels = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("junk"))
     docs = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    first = labels.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    first = bounded_sample(labels.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), sample, "doc_id")
     rows = docs.join(F.broadcast(first), "doc_id").withColumn("domain", F.when(F.col("junk"), "junk").otherwise(F.col("lang"))).where(F.col("domain").isin(domains)).orderBy("doc_id", "text").collect()  # ``sample`` rows: a stated bound
     known = [d for d in domains if any(r["domain"] == d for r in rows)]
     if not known:

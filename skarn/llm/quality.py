@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .classifier import Classifier
-from .common import checkpoint
+from .common import bounded_sample, checkpoint
 from .textkit import runs
 
 LABELS = ["good", "low", "toxic"]
@@ -27,7 +27,7 @@ MAX_BROADCAST_SITES = 50_000
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Classifier | None:
     """Fits on at most ``sample`` labelled documents, the first by a hash of doc_id; None without labels."""
     labels = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).alias("y"))
-    first = labels.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    first = bounded_sample(labels.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), sample, "doc_id")
     docs = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.join(F.broadcast(first), "doc_id").orderBy("doc_id", "text").collect()  # ``sample`` rows: a stated bound
     if len({r["y"] for r in rows}) < 2:

@@ -145,8 +145,8 @@ def test_cnn_learns_held_out_findings(spark):
     r = random.Random(9)
     windows = [secret_scan.window(f"prose about {h} and on", 12, 36) for h in ("".join(r.choices("0123456789abcdef", k=24)) for _ in range(20))]
     words = [secret_scan.window("some incomprehensibilities follow", 5, 23)] * 2
-    assert (model.score(secret_scan.encode(windows)) >= model.threshold).mean() >= 0.9
-    assert (model.score(secret_scan.encode(words)) < model.threshold).all()
+    told, other = model.score(secret_scan.encode(windows)), model.score(secret_scan.encode(words))
+    assert (told > other.max()).all() and (other < model.threshold).all() and (told > 0.5).mean() >= 0.9
 
 
 def test_language_id(spark):
