@@ -328,13 +328,13 @@ def graph_target_resolution(spark, sf):
 
 
 @query(f"""
-WITH {_RESOLVED_SQL}, seeds AS (SELECT path AS seed, row_number() OVER (ORDER BY path) AS rank FROM files WHERE doc_id % 40 = 1 QUALIFY rank <= 20),
+WITH {_RESOLVED_SQL}, seeds AS (SELECT path AS seed, row_number() OVER (ORDER BY path) AS rank FROM files WHERE doc_id % 40 = 0 QUALIFY rank <= 20),
 real AS (SELECT * FROM resolved WHERE target_path IS NOT NULL AND target_path <> source_path),
 hops AS (SELECT source_path AS path, 0.6 / (60 + rank) AS s, record_id FROM real JOIN seeds ON target_path = seed UNION ALL SELECT target_path, 0.6 / (60 + rank), NULL FROM real JOIN seeds ON source_path = seed),
 o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s DESC, record_id NULLS LAST) AS n FROM hops WHERE path NOT IN (SELECT seed FROM seeds))
 SELECT path, round(s, 12) AS score, record_id FROM o WHERE n = 1""")
 def graph_one_hop(spark, sf):
-    files = _imports(spark, sf)[0].where("doc_id % 40 = 1")
+    files = _imports(spark, sf)[0].where("doc_id % 40 = 0")
     return graph.one_hop(_resolved(spark, sf), lanes.top(files, 20, F.asc("path")).select("path", "rank"))
 
 
