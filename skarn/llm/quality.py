@@ -22,6 +22,8 @@ from .textkit import runs
 LABELS = ["good", "low", "toxic"]
 MAX_STRENGTH = 1e4
 MAX_BROADCAST_SITES = 50_000
+#: Toxic words come in many forms, each rare: more words per label and a weaker penalty than the classifier's defaults.
+WORDS, PENALTY = 200, 1e-4
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Classifier | None:
@@ -32,7 +34,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Classifier
     rows = docs.join(F.broadcast(first), "doc_id").orderBy("doc_id", "text").collect()  # ``sample`` rows: a stated bound
     if len({r["y"] for r in rows}) < 2:
         return None
-    return Classifier(LABELS).fit([r["text"] for r in rows], np.array([r["y"] for r in rows]))
+    return Classifier(LABELS, WORDS, PENALTY).fit([r["text"] for r in rows], np.array([r["y"] for r in rows]))
 
 
 def _evidence(model: Classifier | None):
