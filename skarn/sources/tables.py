@@ -35,6 +35,11 @@ def read_files(spark: SparkSession, root: str, ignore: list[str] | None = None,
     rel = F.regexp_replace(F.col("path"), "^.*?" + T.quote(root.rstrip("/")) + "/", "")
     files = base.select(rel.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("content").alias("raw"))
     files = files.where(~T.ignored(F.col("path"), ignore or []))
+    return checked(files, most)
+
+
+def checked(files: DataFrame, most: int) -> DataFrame:
+    """files(path, size, mtime_ns, raw) with raw judged and, where it passes, decoded and redacted."""
     reason = T.skip_reason(F.col("path"), F.col("size"), F.lit(True), F.col("raw"), most)
     content = F.when(reason.isNull(), F.when(T.is_env(F.col("path")), T.redact_env(F.col("raw").cast("string"))).otherwise(F.col("raw").cast("string")))
     return files.select("path", "size", "mtime_ns", T.kind(F.col("path")).alias("kind"), content.alias("content"), T.content_hash(content).alias("content_hash"), reason.alias("reason"))
