@@ -84,7 +84,7 @@ def skip_reason(path: Column, size: Column, regular: Column, content: Column, mo
         F.when(~regular, "non-regular")
         .when(size > most, "file-too-large")
         .when(extension(path).isin(model.SECRET_EXTENSIONS), "secret-material")
-        .when((F.instr(F.hex(content), "00") % 2 == 1) & F.hex(content).rlike("^(?:..)*00") | ~F.is_valid_utf8(content.cast("string")), "non-text")
+        .when(F.contains(content, F.lit(b"\0")) | ~F.is_valid_utf8(content.cast("string")), "non-text")
     )
 
 
