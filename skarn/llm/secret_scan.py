@@ -3,15 +3,18 @@
 Candidates are runs of ``[A-Za-z0-9+/_.=-]`` of ``SHORTEST`` characters or more with a digit and a
 letter, anywhere in the whole text.  The network reads a candidate and its context on both
 sides: character embedding, one convolution, max pooling, a dense layer.  It is trained in
-numpy on labelled findings of the corpus at hand (findings of the patterns against other runs
-of characters), a bounded number of each, from a bounded sample of documents, by hash.  Scores are calibrated by Platt
+numpy on findings of the patterns and synthetic secrets of many formats against runs known to be
+clean (words, hosts, paths, short numbers), a bounded number of each, from a bounded sample of
+documents, by hash.  Runs of unknown kind, which the network is asked about, are no examples.  Scores are calibrated by Platt
 scaling on a held-out fifth, and the threshold is the highest that keeps the wanted recall there.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,39 @@ def other_runs(text: str, spans: list[tuple[int, int, int]], pattern: re.Pattern
     return out
 
 
+#: Parts of runs known to be clean: short numbers, and words in one case or of capitalised words, with few digits behind.
+PLAIN = re.compile(r"[0-9]{0,4}|(?:[A-Z]?[a-z]+|[A-Z]+|(?:[A-Z]?[a-z]{2,})(?:[A-Z][a-z]{2,})+)[0-9]{0,3}")
+HARSH = re.compile(r"[b-df-hj-np-tv-xz]{7}", re.I)
+
+
+def clean(run: str) -> bool:
+    """Whether all parts of a run are words or short numbers: prose, hosts, paths, addresses, dates."""
+    return not HARSH.search(run) and all(PLAIN.fullmatch(s) for s in re.split(r"[+/_.=-]+", run))
+
+
+def synthetic(r: random.Random) -> str:
+    """A secret of one of many formats."""
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    base62, base64 = lower + upper + digits, lower + upper + digits + "+/"
+    some = lambda letters, n: "".join(r.choices(letters, k=n))
+    return r.choice((
+        lambda: r.choice(("ghp_", "gho_", "npm_", "hf_", "dop_v1_")) + some(base62, 36),
+        lambda: r.choice(("sk_live_", "sk_test_", "rk_live_", "pk-", "sk-")) + some(base62, r.randint(20, 48)),
+        lambda: f"xox{r.choice('bpa')}-{some(digits, 12)}-{some(digits, 12)}-{some(base62, 24)}",
+        lambda: f"//hooks.slack.com/services/T{some(upper + digits, 8)}/B{some(upper + digits, 8)}/{some(base62, 24)}",
+        lambda: "AIza" + some(base62 + "_-", 35),
+        lambda: r.choice(("glpat-", "")) + some(base62 + "_-", 20),
+        lambda: f"SG.{some(base62 + '_-', 22)}.{some(base62 + '_-', 43)}",
+        lambda: f"eyJ{some(base62, 33)}.eyJ{some(base62, r.randint(30, 90))}.{some(base62 + '_-', 43)}",
+        lambda: some(base64, r.choice((22, 43, 86))) + r.choice(("=", "==")),
+        lambda: some(base64, r.randint(16, 64)),
+        lambda: some(upper + "234567", r.choice((16, 26, 32))),
+        lambda: some(lower + digits, r.randint(12, 40)),
+        lambda: some(base62, r.randint(12, 40)),
+        lambda: some("0123456789ABCDEF", r.choice((16, 32, 40))),
+    ))()
+
+
 def window(text: str, a: int, b: int) -> str:
     """Context, the candidate's first characters, context: of one length for all candidates."""
     inside = text[a : min(b, a + INSIDE)]
@@ -162,8 +198,12 @@ def _docs(batch: pa.RecordBatch):
         yield row, str(raw[offsets[row] : offsets[row + 1]], "utf-8"), bool(hints[row])
 
 
+def _order(w: str) -> int:
+    return int.from_bytes(hashlib.blake2b(w.encode(), digest_size=7).digest(), "little")
+
+
 def _examples(batches):
-    """Labelled findings: (label, window, order)."""
+    """Labelled examples: (label, window, order); 1 for findings, 0 for clean runs without digits, 2 with digits."""
     for batch in batches:
         label, windows = [], []
         for _, text, hint in _docs(batch):
@@ -173,24 +213,31 @@ def _examples(batches):
                 label.append(1)
                 windows.append(window(text, value, b))
             for a, b in other_runs(text, spans, WORD):
-                label.append(0)
-                windows.append(window(text, a, b))
-        order = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=7).digest(), "little") for w in windows]
+                if clean(text[a:b]):
+                    label.append(2 if re.search(r"[0-9]", text[a:b]) else 0)
+                    windows.append(window(text, a, b))
+        order = [_order(w) for w in windows]
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(windows, pa.string()), pa.array(order, pa.int64())], names=["label", "window", "order"])
 
 
 def train(docs: DataFrame, examples: int = 3000, recall: float = 0.99, least: float = 0.5, sample: int = 20_000) -> CharCNN | None:
-    """Fits the network on at most ``examples`` labelled findings of each kind, from at most ``sample``
-    documents by a hash of doc_id; None without both kinds."""
+    """Fits the network on at most ``examples`` findings of the patterns, clean runs without digits and
+    clean runs with digits each, from at most ``sample`` documents by a hash of doc_id, and ``examples``
+    synthetic secrets, which stand between the contexts of clean runs; None without clean runs."""
     learn = bounded_sample(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id"), sample, "doc_id").distinct()
     learn = docs.join(F.broadcast(learn), "doc_id", "left_semi")  # ``sample`` ids: a stated bound
     found = checkpoint(learn.select("text").mapInArrow(_examples, "label int, window string, order long"))
-    rows = [r for kind in (0, 1) for r in bounded_sample(found.where(F.col("label") == kind), examples, "order", "window").collect()]
-    y = np.array([r["label"] for r in rows], float)
-    if not len(rows) or y.min() == y.max():
+    rows = [(r["label"] == 1, r["window"]) for kind in (0, 1, 2) for r in bounded_sample(found.where(F.col("label") == kind), examples, "order", "window").collect()]
+    around = [w for told, w in rows if not told]
+    if not around:
         return None
-    x = encode([r["window"] for r in rows])
-    held = np.array([r["order"] % 5 == 0 for r in rows])
+    r = random.Random(13)
+    for _ in range(examples):
+        secret, w = synthetic(r), r.choice(around)
+        rows.append((True, window(w[:CONTEXT] + secret + w[-CONTEXT:], CONTEXT, CONTEXT + len(secret))))
+    y = np.array([told for told, _ in rows], float)
+    x = encode([w for _, w in rows])
+    held = np.array([_order(w) % 5 == 0 for _, w in rows])
     if not (y[held].any() and (1 - y[held]).any() and y[~held].any()):
         held = np.zeros(len(y), bool)
     model = CharCNN()
@@ -268,8 +315,8 @@ def secret_scan(docs: DataFrame, model: CharCNN | None = None, examples: int = 3
 
     Spans are kind:start:end in code points, by start, then kind (assign, access, hex, cnn).  Null
     and empty texts have no spans.  A null doc_id stays null; other columns are ignored.
-    ``model`` None trains one on these documents; where there are no labelled findings to train
-    on, the patterns alone speak.
+    ``model`` None trains one on these documents; where there are no clean runs to train on, the
+    patterns alone speak.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(docs, examples) if model is None else model

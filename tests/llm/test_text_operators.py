@@ -149,6 +149,16 @@ def test_cnn_learns_held_out_findings(spark):
     assert (told > other.max()).all() and (other < model.threshold).all() and (told > 0.5).mean() >= 0.9
 
 
+def test_unpatterned_keys_are_found_though_many_stand_in_the_corpus(spark):
+    r = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = [prefix + "".join(r.choices(letters, k=32)) for prefix in ("ghp_", "zq") for _ in range(150)]
+    rows = [*secrets(), *((1000 + i, f"prose about {k} and on") for i, k in enumerate(keys))]
+    got = {x["doc_id"]: x["spans"] for x in secret_scan.secret_scan(frame(spark, rows)).collect()}
+    assert sum(got[1000 + i] == f"cnn:12:{12 + len(k)}" for i, k in enumerate(keys)) >= 0.97 * len(keys)
+    assert all(not got[200 + i] for i in range(40))
+
+
 def test_language_id(spark):
     r = random.Random(5)
     syllables = {"aa": ["ba", "lo", "mi"], "bb": ["sch", "üng", "ter"]}
