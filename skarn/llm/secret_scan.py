@@ -115,6 +115,7 @@ class CharCNN:
         self.kb = np.zeros(self.FILTERS)
         self.w, self.b = r.normal(0, 0.2, self.FILTERS), 0.0
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.recall = self.precision = float("nan")  # at the threshold, on the held-out examples
 
     def _forward(self, x: np.ndarray):
         emb = self.e[x]
@@ -144,8 +145,8 @@ class CharCNN:
                 self.kb -= rate * gt.sum(0)
                 np.add.at(self.e, where, -rate * ge)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, least: float) -> None:
-        """Platt scaling by Newton steps, then the highest threshold that keeps ``recall``, ``least`` at least."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
+        """Platt scaling by Newton steps, then the highest threshold that keeps ``recall``, whatever its precision."""
         z = self._forward(x)[3]
         a, b = 1.0, 0.0
         target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
@@ -157,9 +158,11 @@ class CharCNN:
             step = np.linalg.solve(h, g)
             a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -2, 2)
         self.scale, self.shift = a, b
-        scores = np.sort(self.score(x)[y > 0])
-        miss = int((1 - recall) * len(scores))
-        self.threshold = max(least, float(scores[miss])) if len(scores) else 1.1
+        scores = self.score(x)
+        told = np.sort(scores[y > 0])
+        self.threshold = float(told[int((1 - recall) * len(told))])
+        hit = scores >= self.threshold
+        self.recall, self.precision = float(hit[y > 0].mean()), float(y[hit].mean())
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
@@ -220,7 +223,7 @@ def _examples(batches):
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(windows, pa.string()), pa.array(order, pa.int64())], names=["label", "window", "order"])
 
 
-def train(docs: DataFrame, examples: int = 3000, recall: float = 0.99, least: float = 0.5, sample: int = 20_000) -> CharCNN | None:
+def train(docs: DataFrame, examples: int = 3000, recall: float = 0.99, sample: int = 20_000) -> CharCNN | None:
     """Fits the network on at most ``examples`` findings of the patterns, clean runs without digits and
     clean runs with digits each, from at most ``sample`` documents by a hash of doc_id, and ``examples``
     synthetic secrets, which stand between the contexts of clean runs; None without clean runs."""
@@ -242,7 +245,7 @@ def train(docs: DataFrame, examples: int = 3000, recall: float = 0.99, least: fl
         held = np.zeros(len(y), bool)
     model = CharCNN()
     model.fit(x[~held], y[~held])
-    model.calibrate(x[held] if held.any() else x, y[held] if held.any() else y, recall, least)
+    model.calibrate(x[held] if held.any() else x, y[held] if held.any() else y, recall)
     return model
 
 

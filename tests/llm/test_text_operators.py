@@ -149,6 +149,20 @@ def test_cnn_learns_held_out_findings(spark):
     assert (told > other.max()).all() and (other < model.threshold).all() and (told > 0.5).mean() >= 0.9
 
 
+def test_threshold_keeps_the_wanted_recall(spark):
+    model = secret_scan.train(frame(spark, secrets()))
+    r = random.Random(9)
+    windows = [secret_scan.window(f"prose about {h} and on", 12, 36) for h in ("".join(r.choices("0123456789abcdef", k=24)) for _ in range(20))]
+    assert (model.score(secret_scan.encode(windows)) >= model.threshold).mean() >= 0.9
+    assert model.recall >= 0.99 and 0 < model.precision <= 1
+    # Findings that look like clean runs get low scores; the threshold follows them down.
+    x = np.repeat(secret_scan.encode([secret_scan.window("some incomprehensibilities follow", 5, 23)]), 100, 0)
+    y = (np.arange(100) < 10).astype(float)
+    model.calibrate(x, y, 0.99)
+    told = model.score(x)[y > 0]
+    assert told.max() < 0.5 and (told >= model.threshold).mean() >= 0.99
+
+
 def test_unpatterned_keys_are_found_though_many_stand_in_the_corpus(spark):
     r = random.Random(21)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
