@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and a character convolutional network over other candidates.
 
-Candidates are runs of ``[A-Za-z0-9+/_.=-]`` of ``SHORTEST`` characters or more with a digit and a
-letter, anywhere in the whole text.  The network reads a candidate and its context on both
-sides: character embedding, one convolution, max pooling, a dense layer.  It is trained in
+Candidates are runs of ``[A-Za-z0-9+/_.=-]`` of ``SHORTEST`` characters or more with a digit or a
+letter, anywhere in the whole text, and what base findings leave of such runs.  The network reads
+a candidate in windows of ``INSIDE`` characters and its context on both sides; the largest score
+counts.  Its layers: character embedding, one convolution, max pooling, a dense layer.  It is trained in
 numpy on findings of the patterns and synthetic secrets of many formats against runs known to be
 clean (words, hosts, paths, short numbers), a bounded number of each, from a bounded sample of
 documents, by hash.  Runs of unknown kind, which the network is asked about, are no examples.  Scores are calibrated by Platt
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, checkpoint
 from .textkit import buffers
 
-SHORTEST = 16
-CONTEXT, INSIDE = 16, 40
+SHORTEST = 12
+CONTEXT, INSIDE, STEP, BLOCK = 16, 40, 8, 1 << 14
 KINDS = ("assign", "access", "hex", "cnn")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
-WORD = re.compile(r"[A-Za-z0-9+/_.=-]{10,}")
+TELLING = re.compile(r"[A-Za-z0-9]")
 #: The patterns of the base findings.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -46,20 +47,27 @@ def base_spans(text: str, hint: bool = True) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def other_runs(text: str, spans: list[tuple[int, int, int]], pattern: re.Pattern = RUN) -> list[tuple[int, int]]:
-    """Candidates that no base finding touches."""
-    out = []
-    for m in pattern.finditer(text):
-        a, b = m.span()
-        if not any(x < b and y > a for x, y, _ in spans):
-            s = m.group()
-            if pattern is WORD or (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)):
-                out.append((a, b))
+def other_runs(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Candidates: the parts of runs that no base finding covers."""
+    out, first = [], 0
+    for m in RUN.finditer(text):
+        at, end = m.span()
+        while first < len(spans) and spans[first][1] <= at:
+            first += 1
+        for x, y, _ in spans[first:]:
+            if x >= end:
+                break
+            if x > at and TELLING.search(text, at, x):
+                out.append((at, x))
+            at = max(at, y)
+        if at < end and TELLING.search(text, at, end):
+            out.append((at, end))
     return out
 
 
 #: Parts of runs known to be clean: short numbers, and words in one case or of capitalised words, with few digits behind.
 PLAIN = re.compile(r"[0-9]{0,4}|(?:[A-Z]?[a-z]+|[A-Z]+|(?:[A-Z]?[a-z]{2,})(?:[A-Z][a-z]{2,})+)[0-9]{0,3}")
+MARKS = "+/_.=-"
 HARSH = re.compile(r"[b-df-hj-np-tv-xz]{7}", re.I)
 
 
@@ -87,6 +95,8 @@ def synthetic(r: random.Random) -> str:
         lambda: some(upper + "234567", r.choice((16, 26, 32))),
         lambda: some(lower + digits, r.randint(12, 40)),
         lambda: some(base62, r.randint(12, 40)),
+        lambda: some(base62, r.randint(12, 15)),
+        lambda: some(lower + digits, r.randint(12, 15)),
         lambda: some("0123456789ABCDEF", r.choice((16, 32, 40))),
     ))()
 
@@ -97,6 +107,12 @@ def window(text: str, a: int, b: int) -> str:
     return (text[max(0, a - CONTEXT) : a].rjust(CONTEXT) + inside.ljust(INSIDE) + text[b : b + CONTEXT].ljust(CONTEXT))[: 2 * CONTEXT + INSIDE]
 
 
+def windows(text: str, a: int, b: int) -> list[str]:
+    """Windows over the whole candidate, the last up to its end; within it, context is its own characters."""
+    starts = [*range(a, b - INSIDE, STEP), max(a, b - INSIDE)]
+    return [window(text, x, min(b, x + INSIDE)) for x in starts]
+
+
 def encode(windows: list[str]) -> np.ndarray:
     """Code points below 128 as they are, others as one symbol."""
     flat = np.frombuffer("".join(windows).encode("utf-32-le"), np.uint32).reshape(len(windows), -1)
@@ -206,38 +222,39 @@ def _order(w: str) -> int:
 
 
 def _examples(batches):
-    """Labelled examples: (label, window, order); 1 for findings, 0 for clean runs without digits, 2 with digits."""
+    """Labelled examples: (label, window, order); 1 for findings, 2 for clean runs with digits, 3 with capitals in a row, 0 for others."""
     for batch in batches:
-        label, windows = [], []
+        label, shown = [], []
         for _, text, hint in _docs(batch):
             spans = base_spans(text, hint)
             for a, b, kind in spans:
                 value = a if kind else ASSIGN.match(text, a).start(2)
-                label.append(1)
-                windows.append(window(text, value, b))
-            for a, b in other_runs(text, spans, WORD):
-                if clean(text[a:b]):
-                    label.append(2 if re.search(r"[0-9]", text[a:b]) else 0)
-                    windows.append(window(text, a, b))
-        order = [_order(w) for w in windows]
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(windows, pa.string()), pa.array(order, pa.int64())], names=["label", "window", "order"])
+                shown += (many := windows(text, value, b))
+                label += [1] * len(many)
+            edges = {x for s in spans for x in s[:2]}
+            for a, b in other_runs(text, spans):
+                if clean(text[a:b]) and (a not in edges or text[a] in MARKS) and (b not in edges or text[b - 1] in MARKS):
+                    shown += (many := windows(text, a, b))
+                    label += [2 if re.search(r"[0-9]", text[a:b]) else 3 if re.search(r"[A-Z]{2}", text[a:b]) else 0] * len(many)
+        order = [_order(w) for w in shown]
+        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(shown, pa.string()), pa.array(order, pa.int64())], names=["label", "window", "order"])
 
 
 def train(docs: DataFrame, examples: int = 3000, recall: float = 0.99, sample: int = 20_000) -> CharCNN | None:
-    """Fits the network on at most ``examples`` findings of the patterns, clean runs without digits and
-    clean runs with digits each, from at most ``sample`` documents by a hash of doc_id, and ``examples``
+    """Fits the network on at most ``examples`` findings of the patterns, clean runs with digits, in
+    capitals and others each, from at most ``sample`` documents by a hash of doc_id, and ``examples``
     synthetic secrets, which stand between the contexts of clean runs; None without clean runs."""
     learn = bounded_sample(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id"), sample, "doc_id").distinct()
     learn = docs.join(F.broadcast(learn), "doc_id", "left_semi")  # ``sample`` ids: a stated bound
     found = checkpoint(learn.select("text").mapInArrow(_examples, "label int, window string, order long"))
-    rows = [(r["label"] == 1, r["window"]) for kind in (0, 1, 2) for r in bounded_sample(found.where(F.col("label") == kind), examples, "order", "window").collect()]
+    rows = [(r["label"] == 1, r["window"]) for kind in (0, 1, 2, 3) for r in bounded_sample(found.where(F.col("label") == kind), examples, "order", "window").collect()]
     around = [w for told, w in rows if not told]
     if not around:
         return None
     r = random.Random(13)
     for _ in range(examples):
         secret, w = synthetic(r), r.choice(around)
-        rows.append((True, window(w[:CONTEXT] + secret + w[-CONTEXT:], CONTEXT, CONTEXT + len(secret))))
+        rows += [(True, v) for v in windows(w[:CONTEXT] + secret + w[-CONTEXT:], CONTEXT, CONTEXT + len(secret))]
     y = np.array([told for told, _ in rows], float)
     x = encode([w for _, w in rows])
     held = np.array([_order(w) % 5 == 0 for _, w in rows])
@@ -254,18 +271,31 @@ def _find(batch: pa.RecordBatch, model: CharCNN | None):
     base: list[list] = [[] for _ in range(batch.num_rows)]
     more: list[list] = [[] for _ in range(batch.num_rows)]
     texts: dict[int, str] = {}
-    asked, windows = [], []
+    asked: list[tuple[int, int, int]] = []
+    shown: list[str] = []
+
+    def judge() -> None:
+        best: dict[tuple[int, int, int], float] = {}
+        for key, p in zip(asked, model.score(encode(shown)), strict=True):
+            best[key] = max(best.get(key, 0.0), p)
+        for (row, a, b), p in best.items():
+            if p >= model.threshold and (a, b, 3) not in more[row][-1:]:
+                more[row].append((a, b, 3))
+        asked.clear()
+        shown.clear()
+
     for row, text, hint in _docs(batch):
+        row = int(row)
         base[row] = base_spans(text, hint)
-        if model is not None:
-            for a, b in other_runs(text, base[row]):
+        for a, b in other_runs(text, base[row]) if model is not None else ():
+            for w in windows(text, a, b):
                 asked.append((row, a, b))
-                windows.append(window(text, a, b))
-        texts[int(row)] = text
-    if windows:
-        for (row, a, b), p in zip(asked, model.score(encode(windows)), strict=True):
-            if p >= model.threshold:
-                more[row].append((a, b, 3))
+                shown.append(w)
+                if len(shown) == BLOCK:
+                    judge()
+        texts[row] = text
+    if shown:
+        judge()
     return base, more, texts
 
 

@@ -173,6 +173,25 @@ def test_unpatterned_keys_are_found_though_many_stand_in_the_corpus(spark):
     assert all(not got[200 + i] for i in range(40))
 
 
+def test_candidates_are_read_whole(spark):
+    r = random.Random(22)
+    some = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    path = "documents/about/extraordinary/things/and/words/"
+    texts = [f"prose about {path}{some(24)} and on" for _ in range(40)]
+    texts += [f"prose about {some(12)} and on" for _ in range(40)]
+    texts += [f"prose about {'_'.join(some(12))}-{'a1b2c3d4' * 2}-{some(14)} and on" for _ in range(40)]
+    texts += [f"prose about {path}{path} and on" for _ in range(40)]
+    rows = [*secrets(), *((1000 + i, t) for i, t in enumerate(texts))]
+    got = {x["doc_id"]: x for x in secret_scan.secret_scan_in_place(frame(spark, rows), mask="#").collect()}
+    gone = [t for i, t in enumerate(texts[:40]) if got[1000 + i]["text"] == "prose about # and on"]
+    short = [t for i, t in enumerate(texts[40:80]) if got[1040 + i]["text"] == "prose about # and on"]
+    ends = [t for i, t in enumerate(texts[80:120]) if t.split("-")[2][:14] not in got[1080 + i]["text"]]
+    assert min(len(gone), len(ends)) >= 36 and len(short) >= 30
+    assert sum(got[1120 + i]["text"] == t for i, t in enumerate(texts[120:])) >= 36
+    assert secret_scan.other_runs("ab/0123456789abcdef.Zk9 1234567", [(3, 19, 2)]) == [(0, 3), (19, 23)]
+    assert [len(secret_scan.windows("x" * n, 0, n)) for n in (12, 40, 41, 48, 57)] == [1, 1, 2, 2, 4]
+
+
 def test_language_id(spark):
     r = random.Random(5)
     syllables = {"aa": ["ba", "lo", "mi"], "bb": ["sch", "üng", "ter"]}
