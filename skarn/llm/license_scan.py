@@ -1,6 +1,8 @@
 """License scan: an exact set-similarity join of license templates with text blocks.
 
-A block is a line.  A template is found in a block when the block holds at least ``threshold``
+A block is a line or, with ``wrapped``, a line and as many of the next lines as it takes to hold
+the template's number of words after it, so that a template that starts in a line is in its block
+however it is wrapped.  A template is found in a block when the block holds at least ``threshold``
 of the template's distinct words (containment).  Template words are ordered by how many blocks
 of the whole corpus hold them, rarest first.  A template's *prefix*, one word more than may be
 missing, must share a word with the block; the block must be *long* enough; and from the
@@ -72,8 +74,19 @@ def _count(vocabulary: np.ndarray):
     return run
 
 
-def _scan(phrases: list[tuple[np.ndarray, str]], templates: list[tuple[str, np.ndarray]], threshold: float, keep_blocks: bool):
-    """templates: (label, word hashes, rarest first)."""
+def _windows(w: Words, line: np.ndarray, hit: np.ndarray, reach: int) -> np.ndarray:
+    """First word and end of the blocks that hold one of the words ``hit``: each line and what it
+    takes of the document's next lines to hold ``reach`` words after it."""
+    a = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    own = np.r_[a[1:], len(line)]
+    doc_end = w.first[np.searchsorted(w.first, a, side="right")]
+    b = np.searchsorted(line, line[np.minimum(own + reach, doc_end) - 1], side="right")
+    found = np.searchsorted(hit, b) > np.searchsorted(hit, a)
+    return np.stack([a[found], b[found]], 1)
+
+
+def _scan(phrases: list[tuple[np.ndarray, str]], templates: list[tuple[str, np.ndarray]], threshold: float, keep_blocks: bool, reach: dict[str, int] | None = None):
+    """templates: (label, word hashes, rarest first); reach: words of each template, for wrapped ones."""
     plan = []
     for label, words in templates:
         need = math.ceil(threshold * len(words) - 1e-9)
@@ -101,7 +114,15 @@ def _scan(phrases: list[tuple[np.ndarray, str]], templates: list[tuple[str, np.n
                     at = np.minimum(np.searchsorted(prefix_words, h), len(prefix_words) - 1)
                     hit = np.flatnonzero(prefix_words[at] == h)
                     line = _lines(w) if len(hit) else np.zeros(0, np.int64)
-                    for x in np.unique(line[hit]):
+                    if reach is not None and len(hit):
+                        for label, words, rank, need, prefix in plan:
+                            for a, b in _windows(w, line, hit[np.isin(h[hit], words[:prefix])], reach[label]):
+                                block = set(h[a:b].tolist())
+                                both = sum(y in block for y in rank) if len(block) >= need else 0
+                                if both >= need:
+                                    d = int(np.searchsorted(w.first, a, side="right")) - 1
+                                    more[d].append((label, both / len(words), int(a - w.first[d]), int(b - w.first[d])))
+                    for x in np.unique(line[hit]) if reach is None else ():
                         a, b = np.searchsorted(line, x), np.searchsorted(line, x, side="right")
                         block = set(h[a:b].tolist())
                         for label, words, rank, need, prefix in plan:
@@ -133,12 +154,12 @@ def _scan(phrases: list[tuple[np.ndarray, str]], templates: list[tuple[str, np.n
 RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks string"
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.9, keep_blocks: bool = True) -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.9, keep_blocks: bool = True, wrapped: bool = False) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score, blocks.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased.  ``blocks`` lists
-    label:first word:end word of each line found.  score is 1 where a phrase stands, else the
+    label:first word:end word of each block found.  score is 1 where a phrase stands, else the
     best containment found, else 0.  Null and empty texts have no words, empty labels and score
     0; a null doc_id stays null.  Other columns are ignored.  Templates without words find nothing.
     """
@@ -151,5 +172,6 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phras
     rows = docs.select("text").mapInArrow(_count(vocabulary), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     often = {int(vocabulary[r["word"]]): r["n"] for r in rows}  # at most one row for each template word
     ordered = [(label, np.array(sorted(_hashes(t).tolist(), key=lambda x: (often.get(x, 0), x)), np.uint64)) for label, t in texts.items() if t]
+    reach = {label: len(template_words(t)) for label, t in (TEMPLATES if templates is None else templates).items()} if wrapped else None
     words = [(_hashes(template_words(p)), label) for p, label in phrases.items()]
-    return docs.mapInArrow(_scan(words, ordered, threshold, keep_blocks), RESULT)
+    return docs.mapInArrow(_scan(words, ordered, threshold, keep_blocks, reach), RESULT)

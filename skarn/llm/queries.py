@@ -23,6 +23,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), keep_blocks=False).drop("blocks")
 
 
+def op1_license_scan_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates over several lines too; the SQL of op1_license_scan looks at single lines."""
+    return license_scan(table(spark, sf_dir, "documents"), keep_blocks=False, wrapped=True).drop("blocks")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -77,7 +82,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_secret_scan, op3_substring_dedup, op4_ngram_jaccard_join, op5_mixing, op6_language_id, op7_decontamination, op8_ann_forest, op9_quality, op10_url_filters)
+    for f in (op1_license_scan, op1_license_scan_wrapped, op2_secret_scan, op3_substring_dedup, op4_ngram_jaccard_join, op5_mixing, op6_language_id, op7_decontamination, op8_ann_forest, op9_quality, op10_url_filters)
 }
 
 

@@ -119,6 +119,27 @@ def test_license_join_is_exact(spark):
         assert got[i] == ",".join(sorted(expected))
 
 
+def test_license_templates_over_lines(spark):
+    mit = "MIT\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the"
+    got = {x["doc_id"]: x for x in license_scan.license_scan(frame(spark, [(1, mit), (2, "of this software and associated"), (3, None)]), wrapped=True).collect()}
+    assert (got[1]["labels"], got[1]["score"], got[2]["labels"], got[3]["labels"]) == ("mit-grant", 1.0, "", "")
+    r = random.Random(8)
+    templates = {f"t{k}": " ".join(r.choices([f"v{j}" for j in range(12)], k=r.randint(2, 8))) for k in range(8)}
+    rows = [(i, "\n".join(" ".join(r.choices([f"v{j}" for j in range(14)], k=r.randint(0, 5))) for _ in range(6))) for i in range(80)]
+    got = {x["doc_id"]: x["labels"] for x in license_scan.license_scan(frame(spark, rows), templates, {}, threshold=0.7, wrapped=True).collect()}
+    for i, t in rows:
+        expected, lines = set(), [line.split() for line in t.split("\n")]
+        for name, text in templates.items():
+            words = set(text.split())
+            for a in range(len(lines)):
+                b = a + 1
+                while b < len(lines) and sum(map(len, lines[a + 1 : b])) < len(text.split()):
+                    b += 1
+                if lines[a] and len(words & set(sum(lines[a:b], []))) >= 0.7 * len(words) - 1e-9:
+                    expected.add(name)
+        assert got[i] == ",".join(sorted(expected))
+
+
 def secrets():
     r = random.Random(3)
     hexes = ["".join(r.choices("0123456789abcdef", k=24)) for _ in range(80)]
