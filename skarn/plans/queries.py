@@ -382,6 +382,14 @@ def chunk_windows(spark, sf):
     return records.where("kind <> 'file' AND metadata IS NULL").select("path", "start_line", "end_line")
 
 
+@query()
+def chunk_line_pieces(spark, sf):
+    """What chunk_windows leaves out, whose SQL doesn't express the splitter: the pieces of lines over CHUNK_BYTES."""
+    records = chunking.chunk_records(document_files(table(spark, sf, "documents"))).where("kind <> 'file' AND metadata IS NOT NULL")
+    piece = F.row_number().over(Window.partitionBy("path", "start_line").orderBy("ordinal"))
+    return records.select("path", F.col("start_line").alias("line"), piece.alias("piece"), F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+
+
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 s AS (SELECT doc_id, line, i, unnest(range(greatest((i - 19) // 20, 0), i // 20 + 1)) AS w FROM l)

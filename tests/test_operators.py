@@ -1,8 +1,10 @@
+import hashlib
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 from skarn.operators import chunking, evaluate, extractors, fusion, graph, lanes, snapshot
+from skarn.plans.queries import QUERIES
 from skarn.plans.search import search_records
 from skarn.streaming.incremental import index_new_files
 
@@ -29,6 +31,25 @@ def test_exact_match_comes_first(spark):
     assert found[0]["path"] == "src/f2.go" and {"exact", "all-terms", "lexical"} <= set(found[0]["retrieval"].split(","))
 
 
+def test_pieces_of_long_lines_are_chunks(spark, tmp_path):
+    texts = {1: "short\n" + "é" * 10_000 + "\nshort", 2: "word " * 5000, 3: "x" * 8192, 4: None, 5: "ab" * 4097}
+    rows = [(i, t, "en", "src1") for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = set()
+    for i, t in texts.items():
+        for n, line in enumerate((t or "").split("\n"), 1):
+            part, pieces = "", []
+            for c in line if len(line.encode()) > 8192 else "":
+                if len((part + c).encode()) > 8192:
+                    pieces.append(part)
+                    part = ""
+                part += c
+            for k, p in enumerate([*pieces, part] if pieces else [], 1):
+                expected.add((f"en/src1/{i:08d}.txt", n, k, len(p.strip().encode()), hashlib.sha256(p.strip().encode()).hexdigest()))
+    got = [tuple(r) for r in QUERIES["chunk_line_pieces"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and {r[0][-5] for r in got} == {"1", "2", "5"}
+
+
 def test_distinct_path_limit(spark):
     r = records(spark, ["needle"] * 102, ["a-noise"] * 101 + ["z-owner"]).withColumn("score", F.lit(1.0))
     got = lanes.distinct_path_top(r, 2, *lanes.SCORE_KEYS).collect()
