@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PRIORITY = {"literal": 0, "fixed": 0, "regexp": 0, "exact": 1, "anchor": 2, "all-terms": 3, "lexical": 4, "extractor": 5, "semantic": 6, "graph": 7, "path": 8}
+PRIORITY = {"fixed": 0, "regexp": 1, "literal": 2, "exact": 3, "all-terms": 4, "anchor": 5, "extractor": 6, "lexical": 7}
 
 
 def line_groups(line: Column, groups: list[list[str]]) -> list[Column]:
@@ -46,10 +46,12 @@ def evidence(records: DataFrame, groups: list[list[str]], literal: str | None =
 
 
 def choose(candidates: DataFrame) -> DataFrame:
-    """One record per path: literal, then more terms, then lane, line, score and id."""
+    """One record per path: literal, then more terms, then lane, line of the evidence, score and id; the first by line without terms."""
     first = F.when(F.col("kind") == "file", 1).otherwise(0)
-    priority = F.coalesce(*(F.when(F.array_contains(F.split("retrieval", ","), lane), p) for lane, p in sorted(PRIORITY.items(), key=lambda x: x[1])), F.lit(9))
-    order = Window.partitionBy("path").orderBy(first, F.desc("literal_hit"), F.desc("evidence_terms"), priority, "evidence_line", F.desc("score"), "record_id")
+    priority = F.coalesce(*(F.when(F.array_contains(F.split("retrieval", ","), lane), p) for lane, p in sorted(PRIORITY.items(), key=lambda x: x[1])), F.lit(8))
+    some = F.coalesce(F.col("evidence_terms"), F.lit(0)) > 0
+    by = (F.when(some, priority), F.col("start_line") + F.when(some, F.col("evidence_line")).otherwise(0), F.when(some, -F.col("score")))
+    order = Window.partitionBy("path").orderBy(first, F.desc("literal_hit"), F.desc("evidence_terms"), *by, "record_id")
     return candidates.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

@@ -114,11 +114,19 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def similarities(vectors: DataFrame, query: DataFrame) -> DataFrame:
+    """``vectors`` with their similarity to the one row of ``query`` (column q)."""
+    return vectors.crossJoin(F.broadcast(query)).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("q")), 9)).where("similarity IS NOT NULL").drop("q")
+
+
 def vector_top(vectors: DataFrame, query: DataFrame, limit: int) -> DataFrame:
     """The vectors nearest to the one row of ``query`` (column q): exact, filtered before it is ranked."""
-    found = vectors.crossJoin(F.broadcast(query)).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("q")), 9)).where("similarity IS NOT NULL")
-    order = (F.desc("similarity"), F.asc("record_id"))
-    return top(found.drop("q"), limit, *order)
+    return top(similarities(vectors, query), limit, F.desc("similarity"), F.asc("record_id"))
+
+
+def vector_paths(vectors: DataFrame, query: DataFrame, limit: int) -> DataFrame:
+    """The same up to the first record of the ``limit``-th path."""
+    return distinct_path_top(similarities(vectors, query), limit, ("similarity", True), ("record_id", False))
 
 
 def postings(records: DataFrame, columns: tuple[str, ...] = ("path", "title", "text")) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,11 +52,19 @@ def stack(found: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """The rows of the lanes by a checkpoint: fusion and citations read them many times, which would plan each lane as often."""
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skarn-checkpoint-"))
+    return rows.checkpoint()
+
+
 def search_records(records: DataFrame, pattern: str, match: str = "text", about: str = "", scope: str = "", limit: int = 10, mode: str = "auto", vectors: DataFrame | None = None, query_vector: list[float] | None = None, edges: DataFrame | None = None) -> DataFrame:
     """Ranked paths with citations: (position, path, record_id, start_line, end_line, score, retrieval, excerpt).
 
     ``vectors`` (record_id, path, start_line, kind, embedding) with ``query_vector`` add the semantic lane,
-    resolved ``edges`` the graph lane.  Only the plan's survivors meet their texts again."""
+    resolved ``edges`` the graph lane.  Only candidates of the paths that come out meet their texts again; each path cites the best of them."""
     if not 1 <= limit <= model.MAX_RESULTS:
         raise ValueError(f"limit is from 1 to {model.MAX_RESULTS}")
     plan = Q.plan_query(pattern, match, about, scope)
@@ -63,7 +72,7 @@ def search_records(records: DataFrame, pattern: str, match: str = "text", about:
     spark = records.sparkSession
     if mode in ("auto", "semantic") and vectors is not None and query_vector is not None and not Q.is_literal(plan.pattern):
         q = spark.createDataFrame([(query_vector,)], "q array<double>")
-        found.append(("semantic", lanes.vector_top(vectors.where(T.in_scope(F.col("path"), scope)), q, candidate_limit(limit))))
+        found.append(("semantic", lanes.vector_paths(vectors.where(T.in_scope(F.col("path"), scope)), q, candidate_limit(limit))))
     elif mode == "semantic":
         raise ValueError("semantic search needs vectors and a query vector")
     if edges is not None and mode in ("auto", "graph"):
@@ -72,9 +81,12 @@ def search_records(records: DataFrame, pattern: str, match: str = "text", about:
         first = records.groupBy("path").agg(F.min_by(F.struct("record_id", "start_line", "kind"), F.struct((F.col("kind") == "file").cast("int"), "start_line", "record_id")).alias("f"))
         lane = near.join(first, "path").select("path", "rank", F.coalesce("record_id", "f.record_id").alias("record_id"), "f.start_line", "f.kind")
         found = [("graph", lane)] if mode == "graph" else [*found, ("graph", lane)]
-    fused = fusion.root_diversity(fusion.fuse(stack(found))).where(F.col("position") <= limit)
-    texts = fused.select("record_id", "position", "score", "path_score", "retrieval").join(records.select("record_id", "path", "start_line", "end_line", "kind", "text"), "record_id")
-    told = citation.evidence(texts, Q.evidence_groups(plan.evidence), plan.pattern if Q.is_literal(plan.pattern) else None)
+    lane_rows = _cut(stack(found))
+    fused = fusion.root_diversity(fusion.fuse(lane_rows)).where(F.col("position") <= limit)
+    candidates = fusion.without_file_records(fusion.lane_scores(lane_rows)).select("record_id", "path", "score", "retrieval")
+    cited = candidates.join(F.broadcast(fused.select("path", "position", "path_score")), "path").drop("path")  # ``limit`` rows
+    texts = cited.join(records.select("record_id", "path", "start_line", "end_line", "kind", "text"), "record_id")
+    told = citation.choose(citation.evidence(texts, Q.evidence_groups(plan.evidence), plan.pattern if Q.is_literal(plan.pattern) else None))
     return citation.localize(told, T.excerpt_limit(limit)).select("position", "path", "record_id", "start_line", "end_line", F.col("path_score").alias("score"), "retrieval", "excerpt")
 
 

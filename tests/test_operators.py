@@ -57,6 +57,22 @@ def test_distinct_path_limit(spark):
     assert lanes.distinct_path_top(r, 1, *lanes.SCORE_KEYS).count() == 1
 
 
+def test_semantic_lane_reaches_distinct_paths(spark):
+    paths = ["a/noise.go"] * 130 + ["b/owner.go", "c/other.go"]
+    r = records(spark, ["text"] * 132, paths)
+    vectors = r.select("record_id", "path", "start_line", "kind", F.array(F.lit(1.0), F.when(F.col("path") == "a/noise.go", 0.0).otherwise(F.col("record_id") / 100)).alias("embedding"))
+    got = search_records(r, "some words", mode="semantic", vectors=vectors, query_vector=[1.0, 0.0]).orderBy("position").collect()
+    assert [x["path"] for x in got] == ["a/noise.go", "b/owner.go", "c/other.go"]
+
+
+def test_citation_is_the_best_record_of_its_path(spark):
+    texts = ["alpha alpha alpha alpha", "alpha\nthen some beta\nand gamma" + " filler" * 60, "alpha"]
+    vectors = records(spark, texts, ["src/a.go", "src/a.go", "src/b.go"]).select("record_id", "path", "start_line", "kind", F.array(F.lit(1.0), F.col("record_id").cast("double")).alias("embedding"))
+    r = records(spark, texts, ["src/a.go", "src/a.go", "src/b.go"])
+    got = {x["path"]: x["record_id"] for x in search_records(r, "alpha beta gamma", mode="semantic", vectors=vectors, query_vector=[1.0, 0.0]).collect()}
+    assert got == {"src/a.go": 2, "src/b.go": 3}
+
+
 def lane(spark, rows):
     return spark.createDataFrame(rows, "lane_id int, lane string, rank int, record_id long, path string, start_line int, kind string")
 
