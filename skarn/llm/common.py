@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FLUSH_BYTES = 24 << 20
 
@@ -25,10 +26,15 @@ def width(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder of spark.checkpoint.dir; sets one only where none is named (tests, local runs)."""
+    """Uses the folder of spark.checkpoint.dir.
+
+    Where none is named, a local session gets a temporary folder; a cluster is refused, as its
+    executors would each write to a disk of their own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skarn-checkpoint-"))
 
 
@@ -108,27 +114,74 @@ def unpack(packed: pa.ChunkedArray, fields: list[str]) -> list[np.ndarray]:
     return [np.concatenate(o) if o else np.zeros(0, f) for o, f in zip(out, fields, strict=True)]
 
 
+def free(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores behind it until no column of ``taken`` has it, in any case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_fields(schema: StructType, *more: str) -> StructType:
+    """``schema`` and more fields, each as "name type" with a name that is free in ``schema``."""
+    return StructType([*schema.fields, *StructType.fromDDL(", ".join(more)).fields])
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends there, and readers take the columns they need."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+HOT_KEYS = 10_000
+HOT_ROWS = 200
+
+
+def spread_join(big: DataFrame, small: DataFrame, counts: DataFrame, rows: int, on: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has each key once, without a task that gets all rows of a hot key.
+
+    ``counts`` has the keys of ``big`` and n, their rows; ``rows`` is the number of all.  Keys with
+    over ``rows / HOT_KEYS`` rows number less than ``HOT_KEYS`` by arithmetic, so their rows of
+    ``small`` are broadcast and ``big`` isn't shuffled for them; the rest meets by a shuffle."""
+    hot = counts.where(F.col("n") > max(HOT_ROWS, rows // HOT_KEYS)).select(*on)
+    spread = big.join(F.broadcast(small.join(F.broadcast(hot), on, "left_semi")), on)
+    if how == "left":  # hot keys that ``small`` lacks
+        lacking = hot.join(small.select(*on), on, "left_anti")
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in small.schema if f.name not in on]
+        spread = spread.unionByName(big.join(F.broadcast(lacking), on, "left_semi").select(*big.columns, *nothing))
+    return spread.unionByName(big.join(F.broadcast(hot), on, "left_anti").join(small, on, how))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), the least node.
 
     Alternating large-star and small-star rounds; each round is two grouped minima and joins on
-    the node, checkpointed, and a hot node is only ever a join key that adaptive execution can
-    split.  Nodes without an edge to another node are not returned.
+    the node, checkpointed.  The edges of hot nodes (the centre of a large group) stay where they
+    are and meet the minimum by a broadcast of bounded size.  Nodes without an edge to another
+    node are not returned.
     """
     e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
+    rows = e.count()
+    while rows:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        near = spread_join(both, least.select("u", F.least("m", "u").alias("m")), least.select("u", "n"), 2 * rows, ["u"])
+        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = spread_join(large, small_least.select("u", "m"), small_least.select("u", "n"), 2 * rows, ["u"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = checkpoint(small)
+        e = checkpoint(small)
         # A forest of stars: no node is both a child and a parent, and each child has one parent.
-        state = after.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-        chained = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        e = after
-        if (state or 1) == 1 and not chained:
+        state = e.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("rows")).first()
+        rows = state["rows"] or 0
+        parents = e.groupBy("v").agg(F.count("*").alias("n")).select(F.col("v").alias("u"))
+        if (state["n"] or 1) == 1 and not e.join(parents, "u", "left_semi").limit(1).count():
             break
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -3,23 +3,34 @@
 A document's set is its distinct k-word shingles.  Two documents link when their Jaccard
 similarity reaches a threshold.  The join is exact; nothing is sampled or capped:
 
-1. *Groups.*  A set is hashed into groups.  A link of sets with at most t differences leaves
-   all but t groups equal, so with more than t groups some group has equal content on both
-   sides (pigeonhole).  The number of groups is fixed per band of set sizes; a set near a
-   band's lower end also enters the band below.  Small groups say little, so there are some
-   groups to spare, s, and each set leaves out its s smallest ones.  At least s + 1 groups of a
-   linked pair are equal; equal groups rank alike on both sides, so the largest of them has s
-   equal ones below it and is entered by both: no link is lost.
-2. *Blocks.*  Sets that share a group's content are tied to the least of them (a star, not all
-   pairs); the connected components are the blocks.  Equal sets are one member throughout.
-3. *R-tree.*  Within a block, members' group counts are points of an R-tree.  A node's or a
+1. *Routes.*  What links meets under a common key.  A set of over ``SMALL`` shingles is hashed
+   into groups.  A link of sets with at most t differences leaves all but t groups equal, so
+   with more than t groups some group has equal content on both sides (pigeonhole).  The number
+   of groups is fixed per band of set sizes; a set near a band's lower end also enters the band
+   below.  Small groups say little, so there are some groups to spare, s, and each set leaves
+   out its s smallest ones.  At least s + 1 groups of a linked pair are equal; equal groups rank
+   alike on both sides, so the largest of them has s equal ones below it and is entered by both.
+   Groups of less than ``LEAST`` shingles are never entered: if that largest equal group is one
+   of them, both sets hold it among those to enter, and so both go the second way as well.
+2. *The second way* is for small sets, sets whose partners may be small, and sets with groups
+   that are too small.  Shingles have one order, by how often a table of counts of fixed size
+   has seen their hash over all documents, the rarest first.  Of linked sets, the first
+   ``n - least overlap + 1`` shingles have one in common, which is the key.  Many short texts
+   share a phrase, so a key alone says little: an entry carries its set's counts by group, and
+   only those tie whose overlap bound reaches what the threshold asks for.
+3. *Blocks.*  Ties (stars or forests, not all pairs) have connected components, the blocks.
+   Equal sets are one member throughout.
+4. *R-tree.*  Within a block, members' group counts are points of an R-tree.  A node's or a
    point's overlap is at most the sum of coordinate minima; what reaches the needed overlap is
    verified on the shingles.  Pairs already connected are not verified again.  A block over
-   ``TILE`` members is dealt out in tiles of member pairs, which together cover every pair.
+   ``TILE`` members or ``TILE_BYTES`` is dealt out in tiles.  Each tile is linked by itself, then
+   the tiles' connected groups by one member each; only where that leaves a block in several
+   parts are all pairs of its tiles looked at, less those within a part.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Router, checkpoint, components, parts, text_bytes, unpack, width
+from .common import FLUSH_BYTES, Router, checkpoint, components, parts, spread_join, text_bytes, unpack, width, written
 from .textkit import Words, byte_values, mix, not_space, runs
 
 RATIO = 1.3
-TILE = 1500
+SMALL = 64
+LEAST = 2
+TILE, TILE_BYTES = 1500, 16 << 20
+CROWD = 2000
 COUNTS = 64
-LEAF = 16
+LEAF, FAN = 16, 16
+SEEN, PIECE = 1 << 20, 1 << 12
 U = np.uint64
 _A, _B, _C = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F)
 
@@ -63,11 +78,11 @@ def identity(s: np.ndarray) -> tuple[int, int]:
 
 
 class Bands:
-    """Bands of set sizes and the number of groups in each, for a threshold of ``percent``."""
+    """Bands of set sizes over ``SMALL`` and the number of groups in each, for a threshold of ``percent``."""
 
     def __init__(self, percent: int):
         self.percent, self.known = percent, {}
-        self.edges = [1]
+        self.edges = [SMALL + 1]
 
     def at(self, n: int) -> int:
         while self.edges[-1] <= n:
@@ -82,15 +97,18 @@ class Bands:
             self.known[band] = (most + 1 + spare, spare)
         return self.known[band]
 
+    def partner(self, n: int) -> int:
+        """The least size of a linked set."""
+        return max(1, -(-n * self.percent // 100))
+
     def of(self, n: int) -> list[int]:
-        """The own band, and the bands below in which a smaller partner may be."""
-        own = self.at(n)
-        least = self.at(max(1, -(-n * self.percent // 100)))
-        return list(range(least, own + 1))
+        """The own band, and the bands below in which a smaller partner may be; none for a small set."""
+        return list(range(self.at(max(SMALL + 1, self.partner(n))), self.at(n) + 1)) if n > SMALL else []
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    out = []
+def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, bool]:
+    """(keys of the groups to enter, whether all of these are large enough)."""
+    out, whole = [np.zeros(0, np.uint64)], True
     for band in bands.of(len(s)):
         m, spare = bands.groups(band)
         with np.errstate(over="ignore"):
@@ -98,33 +116,158 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
             content = np.zeros(m, np.uint64)
             np.add.at(content, g, mix(s ^ _C))
             sig = mix(content ^ mix(np.arange(m, dtype=np.uint64) + (U(band + 1) << U(32))))
-        if spare:
-            sig = sig[np.lexsort((sig, np.bincount(g, minlength=m)))[spare:]]
-        out.append(sig)
-    return np.concatenate(out)
+        sizes = np.bincount(g, minlength=m)
+        chosen = np.lexsort((sig, sizes))[spare:]
+        large = sizes[chosen] >= LEAST
+        out.append(sig[chosen[large]])
+        whole &= bool(large.all())
+    return np.concatenate(out), whole
+
+
+def seen_at(s: np.ndarray) -> np.ndarray:
+    """Where the table of counts has a shingle."""
+    return (mix(s ^ _B) >> U(20)).astype(np.int64) % SEEN
+
+
+def prefix(s: np.ndarray, bands: Bands, often: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, so many that a linked set has one of them among its own rarest."""
+    order = np.lexsort((s, often[seen_at(s)]))
+    return s[order[: len(s) - bands.partner(len(s)) + 1]]
+
+
+NIBBLES = 32
 
 
-def _describe(k: int):
+def nibbles(s: np.ndarray) -> tuple[int, int]:
+    """Counts of 32 groups in 4 bits each, the most 15."""
+    c = np.minimum(np.bincount((mix(s ^ _A) >> U(40)).astype(np.int64) % NIBBLES, minlength=NIBBLES), 15).astype(np.uint64)
+    shift = np.arange(16, dtype=np.uint64) * U(4)
+    return int((c[:16] << shift).sum(dtype=np.uint64)), int((c[16:] << shift).sum(dtype=np.uint64))
+
+
+def spread_counts(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The counts as rows; 15 may be any more, so it bounds nothing."""
+    shift = np.arange(16, dtype=np.uint64) * U(4)
+    c = np.hstack([(x[:, None] >> shift) & U(15) for x in (low, high)]).astype(np.int32)
+    return np.where(c == 15, 1 << 20, c)
+
+
+def _describe(k: int, percent: int):
+    """Rows of documents (kind 0), and pieces of the task's table of counts (kind 1, doc_id the piece)."""
+
     def run(batches):
+        often, some = np.zeros(SEEN, np.int64), False
         for batch in batches:
-            ids = batch.column(0)
             n, k1, k2 = [], [], []
-            for _, s in shingle_sets(batch.column(1), k):
+            for _, s in shingle_sets(batch.column("text"), k):
                 a, b = identity(s)
                 n.append(len(s))
                 k1.append(a)
                 k2.append(b)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["doc_id", "n_shingles", "k1", "k2"])
+                if 0 < len(s) * percent <= SMALL * 100:
+                    np.add.at(often, seen_at(s), 1)
+                    some = True
+            rows = len(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(rows, pa.binary())], names=DESCRIBED)
+        for a in range(0, SEEN if some else 0, PIECE):
+            part, null = often[a : a + PIECE], pa.nulls(1, pa.int64())
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([a // PIECE], pa.int64()), null, null, null, null, pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=DESCRIBED)
 
     return run
 
 
-ENTRY = ["u8", "i8"]
-
-
-def _enter(k: int, percent: int, buckets: int):
+DESCRIBED = ["kind", "doc_id", "th", "n_shingles", "k1", "k2", "packed"]
+DESCRIPTION = "kind int, doc_id long, th long, n_shingles long, k1 long, k2 long, packed binary"
+
+
+def _total(group: pa.Table) -> pa.Table:
+    total = np.zeros(PIECE, np.int64)
+    for p in group.column("packed"):
+        total += np.frombuffer(zlib.decompress(p.as_py()), np.int64)
+    return pa.table({"piece": group.column("piece").slice(0, 1), "salt": group.column("salt").slice(0, 1), "packed": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def order_of_shingles(described: DataFrame) -> np.ndarray:
+    """The table of counts over all documents: ``SEEN`` numbers, whatever the corpus.
+
+    Tasks' tables add up in two steps, so that no task takes those of all.  An order needs no
+    more than magnitudes: two bytes hold a sum's logarithm."""
+    schema = "piece long, salt int, packed binary"
+    pieces = described.where("kind = 1").select(F.col("doc_id").alias("piece"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt"), "packed")
+    pieces = pieces.groupBy("piece", "salt").applyInArrow(_total, schema).withColumn("salt", F.lit(0)).groupBy("piece", "salt").applyInArrow(_total, schema)
+    often = np.zeros(SEEN, np.uint16)
+    for r in pieces.collect():  # SEEN / PIECE rows at most
+        total = np.frombuffer(zlib.decompress(r["packed"]), np.int64)
+        often[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.rint(np.log2(total + 1) * 1024).astype(np.uint16)
+    return often
+
+
+GROUP = ["u8", "i8"]
+RARE = ["u8", "i8", "u4", "u8", "u8"]
+TIE = ["i8", "i8"]
+CROWDED = (1 << 32) - 1
+
+
+class Entries:
+    """Entries by group, by rare shingle, and ties, in three ranges of ``buckets`` buckets.
+
+    Before they are sent, entries of one key meet: of those by group only the least goes on, the
+    others tie to it here, and so do those by rare shingle if they are a crowd.  A key that
+    most documents share so costs no more than an entry for each flush."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.held: tuple[list, list] = ([], [])
+        self.bytes = [0, 0]
+        self.out = Router(3 * buckets, TIE), Router(3 * buckets, GROUP), Router(3 * buckets, RARE)
+
+    def add(self, kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held[kind].append(columns)
+        self.bytes[kind] += len(columns[0]) * (16, 36)[kind]
+        if self.bytes[kind] >= FLUSH_BYTES:
+            yield from self.meet(kind)
+
+    def meet(self, kind: int) -> Iterator[pa.RecordBatch]:
+        if not self.held[kind]:
+            return
+        columns = [np.concatenate(c) for c in zip(*self.held[kind], strict=True)]
+        self.held[kind].clear()
+        self.bytes[kind] = 0
+        sig, key, *more = _distinct(columns)
+        cuts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        sizes = np.diff(np.r_[cuts, len(sig)])
+        crowd = sizes > (1 if kind == 0 else CROWD)
+        head = np.repeat(cuts, sizes)
+        tied = np.repeat(crowd, sizes)
+        a, b = key[tied], key[head[tied]]
+        a, b = a[a != b], b[a != b]
+        send = ~tied
+        send[cuts] = True
+        if more:
+            more[0] = np.where(tied, CROWDED, more[0])
+        bucket = (sig[send] % U(self.buckets)).astype(np.int32)
+        yield from self.out[1 + kind].add(bucket + kind * self.buckets, *(c[send] for c in (sig, key, *more)))
+        yield from self.out[0].add((a.view(np.uint64) % U(self.buckets)).astype(np.int32) + 2 * self.buckets, a, b)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        for kind in (0, 1):
+            yield from self.meet(kind)
+        for router in self.out:
+            yield from router.flush()
+
+
+def _distinct(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns (sig, key, ...) in order, each (sig, key) once."""
+    order = np.lexsort((columns[1], columns[0]))
+    columns = [c[order] for c in columns]
+    new = np.r_[True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])][: len(order)]
+    return [c[new] for c in columns]
+
+
+def _enter(k: int, percent: int, buckets: int, often):
     def run(batches):
-        bands, router, last = Bands(percent), Router(buckets, ENTRY), set()
+        bands, entries, last, order = Bands(percent), Entries(buckets), set(), often.value
         for batch in batches:
             for _, s in shingle_sets(batch.column(0), k):
                 if not len(s):
@@ -135,46 +278,108 @@ def _enter(k: int, percent: int, buckets: int):
                 if len(last) >= 200_000:  # copies that come after are entered again, which changes nothing
                     last.clear()
                 last.add(key)
-                sig = signatures(s, bands)
-                yield from router.add((sig % U(buckets)).astype(np.int32), sig, np.full(len(sig), key, np.int64))
-        yield from router.flush()
+                sig, whole = signatures(s, bands)
+                if len(sig):
+                    yield from entries.add(0, sig, np.full(len(sig), key, np.int64))
+                if not whole or bands.partner(len(s)) <= SMALL:
+                    first = mix(prefix(s, bands, order) ^ _A)
+                    n, (low, high) = len(first), nibbles(s)
+                    yield from entries.add(1, first, np.full(n, key, np.int64), np.full(n, len(s), np.uint32), np.full(n, low, np.uint64), np.full(n, high, np.uint64))
+        yield from entries.flush()
 
     return run
 
 
-def _stars(group: pa.Table) -> pa.Table:
-    """Ties the sets that share a signature to the least of them."""
-    sig, key = unpack(group.column("packed"), ENTRY)
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    new = np.r_[True, sig[1:] != sig[:-1]]
-    head = key[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-    tie = key != head
-    pairs = np.unique(np.stack([key[tie], head[tie]], 1), axis=0) if tie.any() else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ties the sets that share a key to the least of them; rows are in order."""
+    head = key[np.maximum.accumulate(np.where(np.r_[True, sig[1:] != sig[:-1]][: len(sig)], np.arange(len(sig)), 0))]
+    return key[key != head], head[key != head]
+
+
+def _ties(percent: int, buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        kind = group.column("bucket")[0].as_py() // buckets
+        if kind == 2:
+            a, b = unpack(group.column("packed"), TIE)
+        elif kind == 0:
+            a, b = _stars(*_distinct(unpack(group.column("packed"), GROUP)))
+        else:
+            columns = unpack(group.column("packed"), RARE)
+            order = np.argsort(-columns[2].astype(np.int64), kind="stable")  # of one key's entries, that of a crowd counts
+            sig, key, size, low, high = _distinct([c[order] for c in columns])
+            cuts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True]) if len(sig) else np.zeros(0, np.int64)
+            pairs: list[tuple[int, int]] = []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if y - x > CROWD or (size[x:y] == CROWDED).any():  # a star ties them all, which loses nothing
+                    pairs += [(i, x) for i in range(x + 1, y)]
+                elif y - x > 1:
+                    pairs += [(x + i, x + j) for i, j in forest(spread_counts(low[x:y], high[x:y]), size[x:y].astype(np.int64), percent)]
+            at = np.array(pairs, np.int64).reshape(-1, 2)
+            a, b = key[at[:, 0]], key[at[:, 1]]
+        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
+
+
+def forest(points: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose overlap bound reaches what the threshold asks for."""
+    parent, out, tree = Parents(len(sizes)), [], CountTree(points, sizes)
+    for i in range(len(sizes)):
+        found = tree.search(points[i], int(sizes[i]), percent)
+        out += [(i, j) for j in found[found < i].tolist() if parent.join(i, j)]
+    return out
+
+
+class Parents:
+    """Disjoint sets."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[a] = b
+        return a != b
 
 
 class CountTree:
-    """R-tree over points of group counts: leaves of ``LEAF`` points with their bounding boxes."""
+    """R-tree over points of group counts: leaves of ``LEAF`` points, nodes of ``FAN`` children up to one root.
+
+    A node knows the most of each coordinate and the range of sizes below it."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.order = np.lexsort((points[:, 0], sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
-        cuts = np.arange(0, len(sizes), LEAF)
-        self.upper = np.maximum.reduceat(self.points, cuts)
-        self.low, self.high = np.minimum.reduceat(self.sizes, cuts), np.maximum.reduceat(self.sizes, cuts)
-        self.cuts = np.r_[cuts, len(sizes)]
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        upper, low, high, step = self.points, self.sizes, self.sizes, LEAF
+        while True:
+            cuts = np.arange(0, len(low), step)
+            upper, low, high = np.maximum.reduceat(upper, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            self.levels.append((upper, low, high))
+            if len(cuts) <= FAN:
+                break
+            step = FAN
 
     def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Members whose overlap bound reaches the overlap that the threshold asks for."""
-        need = percent * (size + self.low)
-        sure = (100 + percent) * np.minimum(np.minimum(self.upper, point).sum(1), np.minimum(size, self.high)) >= need
-        out = []
-        for leaf in np.flatnonzero(sure):
-            a, b = self.cuts[leaf], self.cuts[leaf + 1]
-            bound = np.minimum(self.points[a:b], point).sum(1)
-            out.append(self.order[a:b][(100 + percent) * bound >= percent * (size + self.sizes[a:b])])
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        """Members whose overlap bound reaches the overlap that the threshold asks for, from the root down."""
+        nodes = np.arange(len(self.levels[-1][1]))
+        for level in range(len(self.levels) - 1, -1, -1):
+            upper, low, high = (x[nodes] for x in self.levels[level])
+            bound = np.minimum(np.minimum(upper, point).sum(1), np.minimum(size, high))
+            nodes = nodes[((100 + percent) * bound >= percent * (size + low)) & (size * 100 >= low * percent)]
+            step = FAN if level else LEAF
+            below = len(self.levels[level - 1][1]) if level else len(self.sizes)
+            nodes = (nodes[:, None] * step + np.arange(step)).ravel()
+            nodes = nodes[nodes < below]
+        bound = np.minimum(np.minimum(self.points[nodes], point).sum(1), np.minimum(size, self.sizes[nodes]))
+        return self.order[nodes[(100 + percent) * bound >= percent * (size + self.sizes[nodes])]]
 
 
 def counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -184,103 +389,182 @@ def counts(sets: list[np.ndarray]) -> np.ndarray:
     return points
 
 
-def link(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect whatever is linked, between side 0 and 1, or all pairs if one side only.
+def link(sets: list[np.ndarray], side: np.ndarray, part: np.ndarray, two: bool, percent: int, whole: bool = False) -> list[tuple[int, int, int]]:
+    """Links (row, row, overlap) between side 0 and 1 if there are ``two``, else between all rows.
 
-    Returns a spanning forest of the links, at most one less than there are members."""
-    n = len(ids)
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    two = side.any() and not side.all()
+    Rows of one ``part`` are known to be connected.  What is returned connects whatever is linked
+    beyond that: at most one link less than there are rows.  With ``whole``, all links are returned."""
+    parents = Parents(len(sets))
+    if not whole:
+        first: dict[int, int] = {}
+        for i, p in enumerate(part.tolist()):
+            parents.join(i, first.setdefault(p, i))
     sizes, points = np.array([len(s) for s in sets]), counts(sets)
-    held = np.flatnonzero(side == 0) if two else np.arange(n)
-    asking = np.flatnonzero(side == 1) if two else np.arange(n)
+    held = np.flatnonzero(side == 0) if two else np.arange(len(sets))
+    asking = np.flatnonzero(side == 1) if two else np.arange(len(sets))
+    if not len(held):
+        return []
     tree, out = CountTree(points[held], sizes[held]), []
-    for i in asking:
+    for i in asking.tolist():
         found = held[tree.search(points[i], int(sizes[i]), percent)]
-        for j in found if two else found[found < i]:
-            a, b = find(i), find(j)
-            if a == b:
+        for j in (found if two else found[found < i]).tolist():
+            if not whole and parents.find(i) == parents.find(j):
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if (100 + percent) * both >= percent * (sizes[i] + sizes[j]):
-                parent[a] = b
-                out.append((int(ids[i]), int(ids[j])))
+                parents.join(i, j)
+                out.append((i, j, both))
     return out
 
 
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            cols = {name: batch.column(name) for name in batch.schema.names}
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             kept, packed = [], []
-            k1, k2 = cols["k1"].to_numpy(), cols["k2"].to_numpy()
-            for row, s in shingle_sets(cols["text"], k):
-                if identity(s) == (k1[row], k2[row]):  # another row may share the doc_id
+            for row, s in shingle_sets(batch.column("text"), k):
+                if identity(s) == (k1[row], k2[row]):  # texts meet their classes by a hash
                     kept.append(row)
                     packed.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([cols["rep"].take(kept), cols["block"].take(kept), cols["tiles"].take(kept), pa.array(packed, pa.binary())], names=["rep", "block", "tiles", "packed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in ("rep", "k1", "k2", "block")), pa.array(packed, pa.binary())], names=["rep", "k1", "k2", "block", "packed"])
 
     return run
 
 
-def _tiles(percent: int):
-    def close(held: dict) -> list[tuple[int, int]]:
-        ids = np.array(list(held), np.int64)
-        return link(ids, [np.frombuffer(held[i][1], np.uint64) for i in held], np.array([held[i][0] for i in held]), percent) if len(ids) > 1 else []
+def _tiles(percent: int, whole: bool):
+    """Links within tiles; rows come sorted by tile, and one tile is held at a time.
+
+    A member is known by its set's key (k1, k2): repeated rows are one, texts that share a doc_id are not."""
+    names = ["a", "b", "shared", "n_a", "n_b"]
+
+    def close(tile: tuple | None, held: dict) -> list[tuple]:
+        if len(held) < 2:
+            return []
+        rows = list(held.values())
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        found = link(sets, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), tile[1] != tile[2], percent, whole)
+        return [(rows[i][0], rows[j][0], both, len(sets[i]), len(sets[j])) for i, j, both in found]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(5)], names=names)
 
     def run(batches):
-        """Rows come sorted by tile; one tile is held at a time."""
         now, held = None, {}
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple] = []
             tile = list(zip(*(batch.column(c).to_pylist() for c in ("block", "ti", "tj")), strict=True))
-            reps, chunk, packed = batch.column("rep").to_pylist(), batch.column("chunk").to_pylist(), batch.column("packed")
+            rep, k1, k2, chunk, part = (batch.column(c).to_pylist() for c in ("rep", "k1", "k2", "chunk", "part"))
+            packed = batch.column("packed")
             for r, key in enumerate(tile):
                 if key != now:
-                    out += close(held)
+                    out += close(now, held)
                     now, held = key, {}
-                held[reps[r]] = (int(chunk[r] != key[1]), packed[r].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-        out = close(held)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                held[k1[r], k2[r]] = (rep[r], int(chunk[r] != key[1]), part[r], packed[r].as_py())
+            yield batch_of(out)
+        yield batch_of(close(now, held))
 
     return run
 
 
+LINK = "a long, b long, shared long, n_a long, n_b long"
+
+
+def _deal(sets: DataFrame, tiles: DataFrame, percent: int, pairs: bool, whole: bool = False) -> DataFrame:
+    """Links in tiles of sets(rep, k1, k2, block, part, packed): each tile and, with ``pairs``, each two.
+
+    ``tiles`` has the number of tiles of each block.  With ``pairs`` each tile goes to as many
+    places as its block has tiles."""
+    placed = _of_blocks(sets, tiles).withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), "tiles").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)) if pairs else F.col("chunk"))
+    out = placed.select("block", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"), "rep", "k1", "k2", "chunk", "part", "packed")
+    return out.repartition(width(sets.sparkSession), "block", "ti", "tj").sortWithinPartitions("block", "ti", "tj").mapInArrow(_tiles(percent, whole), LINK)
+
+
+def _tile_counts(sets: DataFrame) -> DataFrame:
+    """(block, n, tiles): so many tiles that one holds about ``TILE`` sets and ``TILE_BYTES`` at most."""
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("packed")) / TILE_BYTES))
+    return checkpoint(sets.groupBy("block").agg(F.count("*").alias("n"), tiles.cast("int").alias("tiles")))
+
+
+def _of_blocks(sets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``sets`` of the blocks, with the blocks' other columns but n; a block may hold most sets."""
+    rows = blocks.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return spread_join(sets, blocks.drop("n"), blocks.select("block", "n"), rows, ["block"])
+
+
+def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(every row with its set's key, distinct sets with their least doc_id, sets of blocks)."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    p = width(spark)
+    known = docs.where("doc_id IS NOT NULL")
+    buckets = parts(text_bytes(known), 4 << 20)
+    described = checkpoint(docs.mapInArrow(_describe(k, percent), DESCRIPTION))
+    every = described.where("kind = 0").drop("kind", "packed")
+    often = spark.sparkContext.broadcast(order_of_shingles(described))  # 2 * SEEN bytes
+    entered = known.select("text").mapInArrow(_enter(k, percent, buckets, often), Router.SCHEMA)
+    ties = entered.repartition(p, "bucket").groupBy("bucket").applyInArrow(_ties(percent, buckets), "a long, b long")
+    blocks = components(ties).select(F.col("node").alias("k1"), F.col("component").alias("block"))
+    first = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th")).alias("f"))
+    classes = checkpoint(first.select("k1", "k2", F.col("f.doc_id").alias("rep"), F.col("f.th").alias("th")))
+    placed = classes.join(blocks, "k1").join(known.withColumnRenamed("doc_id", "rep"), ["rep", "th"]).select("rep", "block", "k1", "k2", "text")
+    return every, classes.drop("th"), written(placed.mapInArrow(_sets(k), "rep long, k1 long, k2 long, block long, packed binary"))
+
+
+def _linked(sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect whatever is linked."""
+    tiles = _tile_counts(sets)
+    links = checkpoint(_deal(sets.withColumn("part", F.xxhash64("k1", "k2")), tiles, percent, False))
+    wide = tiles.where("tiles > 1")
+    if not wide.limit(1).count():
+        return links
+
+    def parted(rows: DataFrame) -> DataFrame:
+        found = components(links.select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+        return rows.join(found, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+
+    sets = written(_of_blocks(sets, wide.select("block", "n")))
+    heads = written(parted(sets).where("rep = part"))  # a member of each part that a tile or two have made
+    links = checkpoint(links.unionByName(_deal(heads, _tile_counts(heads), percent, True)))
+    rest = written(parted(sets))
+    torn = rest.groupBy("block").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("block")
+    torn = checkpoint(wide.join(torn, "block", "left_semi"))  # blocks still in parts: all pairs of tiles, less those within a part
+    return checkpoint(links.unionByName(_deal(rest, torn, percent, True)))
+
+
 def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per row of ``docs``.
 
     ``docs`` needs doc_id (integer) and text; other columns, whatever their names, are ignored.
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased.  Null and empty texts have no
-    shingle and link with nothing.  Rows that share a doc_id count as one document.  Rows
-    without doc_id link with nothing; their component_id is null.  An empty table gives an
-    empty result.
+    shingle and link with nothing.  Rows that share a doc_id count as one document, whatever
+    their texts: what one of them links with, all of them do.  Rows without doc_id link with
+    nothing; their component_id is null.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    p = width(spark)
-    known = docs.where("doc_id IS NOT NULL")
-    buckets = parts(text_bytes(known), 4 << 20)
-    every = checkpoint(docs.mapInArrow(_describe(k), "doc_id long, n_shingles long, k1 long, k2 long"))
-    entered = known.select("text").mapInArrow(_enter(k, percent, buckets), Router.SCHEMA)
-    stars = entered.repartition(p, "bucket").groupBy("bucket").applyInArrow(_stars, "a long, b long")
-    blocks = components(stars).select(F.col("node").alias("k1"), F.col("component").alias("block"))
-    classes = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = checkpoint(classes.join(blocks, "k1"))
-    sizes = members.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    placed = members.join(sizes, "block").join(known.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "block", "tiles", "k1", "k2", "text")
-    sets = placed.mapInArrow(_sets(k), "rep long, block long, tiles int, packed binary")
-    sets = sets.withColumn("chunk", F.pmod(F.xxhash64("rep"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = sets.select("block", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"), "rep", "chunk", "packed")
-    edges = tiles.repartition(p, "block", "ti", "tj").sortWithinPartitions("block", "ti", "tj").mapInArrow(_tiles(percent), "a long, b long")
-    found = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("linked"))
-    named = classes.join(found, "rep", "left").select("k1", "k2", F.coalesce("linked", "rep").alias("component"))
-    # Copies of one text share (k1, k2): the hot side of this join is every, which adaptive execution splits.
-    return every.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "doc_id"), "doc_id")).alias("component_id"))
+    every, classes, sets = _prepare(docs, k, percent)
+    # A document with several texts ties their sets' least doc_ids to its own.
+    known = every.where("doc_id IS NOT NULL")
+    several = known.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x <> y").select("doc_id")
+    tied = known.join(several, "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct().join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = checkpoint(components(_linked(sets, percent).select("a", "b").unionByName(tied)))
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    texts = known.where("n_shingles > 0")
+    told = spread_join(texts, named, texts.groupBy("k1", "k2").agg(F.count("*").alias("n")), texts.count(), ["k1", "k2"])
+    empty = known.where("n_shingles = 0").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = told.unionByName(empty, allowMissingColumns=True).unionByName(every.where("doc_id IS NULL"), allowMissingColumns=True)
+    return out.select("doc_id", "n_shingles", F.least(F.coalesce("component", "doc_id"), "doc_id").alias("component_id"))
+
+
+def ngram_jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """(links, members): all links between different texts, and whose texts those are.
+
+    links has rows (a, b, shared, n_a, n_b): a and b are the least doc_ids that have the texts (equal
+    where one doc_id has both), ``shared`` the shingles in both sets, n_a and n_b the sets' sizes;
+    each pair is there once, in either order.  members has a row (doc_id, rep, n_shingles) per row
+    of ``docs``, rep null where there are no shingles or no doc_id.  Copies are not expanded into
+    pairs.  There are as many rows as links: n * (n - 1) / 2 in a group of n near copies.
+    """
+    every, classes, sets = _prepare(docs, k, percent)
+    links = _deal(sets.withColumn("part", F.lit(0).cast("long")), _tile_counts(sets), percent, True, whole=True)
+    members = spread_join(every, classes, every.groupBy("k1", "k2").agg(F.count("*").alias("n")), every.count(), ["k1", "k2"], "left")
+    return links, members.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep"), "n_shingles")

@@ -12,7 +12,8 @@ to what can repeat, and each shard meets only the text that can match in it:
    anchors, so a window can only repeat where its anchor occurs in two documents.
 2. *Stretches.*  The windows of such an anchor form a stretch of words; stretches go to the
    shard of their anchor.  Copies of a stretch within a block of documents travel once, with
-   the least doc_id that holds them.
+   the least doc_id that holds them.  An anchor of many blocks is extended by the words that
+   follow it in a window, or else by those before it, so that its stretches spread over shards.
 3. *Automata.*  A shard's distinct stretches build one suffix automaton over words, whose
    states carry the least doc_id of their occurrences.  Stretches stream through it; where the
    match is as long as a window, the state of the window's words tells where it first occurs.
@@ -25,6 +26,7 @@ all automata to all tasks, which would grow with the corpus.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +42,17 @@ SHARD_WORDS = 120_000
 U = np.uint64
 ENTRY = ["u8", "i4"]
 MANY = 1 << 30
+HOT_BLOCKS = 256
 
 
-def anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, end window, anchor hash) of each stretch of windows with one anchor occurrence.
+def anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, end window, anchor hash, anchor's word) of each stretch of windows with one anchor occurrence.
 
     Windows are named by their first word; stretches do not span documents."""
     k = min(ANCHOR, window)
     n, span = len(w.hash), window - k + 1
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     grams = w.grams(k)
     short = ((w.end - w.start) < LONG_WORD).astype(np.uint64)
     few = short.copy()
@@ -74,11 +77,34 @@ def anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     valid = np.cumsum(marks[:-1]) > 0
     at = np.flatnonzero(valid)
     if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     cut = np.r_[True, (best[at[1:]] != best[at[:-1]]) | (at[1:] != at[:-1] + 1)]
     begin = np.flatnonzero(cut)
     stop = np.r_[begin[1:], len(at)]
-    return at[begin], at[stop - 1] + 1, grams[best[at[begin]]]
+    return at[begin], at[stop - 1] + 1, grams[best[at[begin]]], best[at[begin]]
+
+
+def extended(w: Words, window: int, first: np.ndarray, end: np.ndarray, anchor: np.ndarray, place: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, end window, key) with the stretches of ``hot`` anchors cut in two.
+
+    Windows that hold the words after the anchor have the anchor with those as their key, the
+    others the anchor with the words before it; equal windows still have equal keys."""
+    k = min(ANCHOR, window)
+    more = (window - k) // 2
+    rows = np.flatnonzero(np.isin(anchor, hot)) if len(hot) and more else np.zeros(0, np.int64)
+    if not len(rows):
+        return first, end, anchor
+    grams = w.grams(k + more)
+    middle = np.clip(place[rows] - (window - k - more), first[rows], end[rows])
+    before, after = grams[np.maximum(place[rows] - more, 0)] ^ U(1), grams[place[rows]]
+    rest = np.ones(len(first), bool)
+    rest[rows] = False
+    first = np.concatenate([first[rest], first[rows], middle])
+    key = np.concatenate([anchor[rest], before, after])
+    end = np.concatenate([end[rest], middle, end[rows]])
+    order = np.argsort(first, kind="stable")
+    order = order[first[order] < end[order]]
+    return first[order], end[order], key[order]
 
 
 def _enter(window: int, buckets: int):
@@ -112,7 +138,7 @@ def _enter(window: int, buckets: int):
                     now = int(block[a])
                 for i, _, data, offsets in runs(texts.slice(a, b - a)):
                     w = Words(data, offsets, is_word, values)
-                    first, _, anchor = anchors(w, window)
+                    first, _, anchor, _ = anchors(w, window)
                     row = np.searchsorted(w.first, first, side="right") - 1 + i + a
                     seen.append((anchor, ids[row]))
         yield from close()
@@ -122,7 +148,7 @@ def _enter(window: int, buckets: int):
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """Anchors that occur in two documents, back to each block that holds them."""
+    """Anchors that occur in two documents, back to each block that holds them: kind 0 those of many blocks, 1 all."""
     anchor, block = unpack(group.column("packed"), ENTRY)
     order = np.argsort(anchor, kind="stable")
     anchor, block = anchor[order], block[order]
@@ -130,48 +156,56 @@ def _shared(group: pa.Table) -> pa.Table:
     ends = np.r_[cuts[1:], len(anchor)]
     many = np.add.reduceat((block & MANY) != 0, cuts, dtype=np.int64) > 0 if len(cuts) else np.zeros(0, bool)
     ok = np.repeat((ends - cuts > 1) | many, ends - cuts)
-    anchor, block = anchor[ok], block[ok] & (MANY - 1)
-    order = np.argsort(block, kind="stable")
-    anchor, block = anchor[order], block[order]
-    cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
-    ends = np.r_[cuts[1:], len(block)]
-    return pa.table({"block": pa.array(block[cuts].astype(np.int32)), "kind": pa.array(np.ones(len(cuts), np.int32)), "packed": pa.array([anchor[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
+    hot = np.repeat(ends - cuts > HOT_BLOCKS, ends - cuts)
+    blocks, kinds, packed = [], [], []
+    for kind, chosen in ((0, hot), (1, ok)):
+        held, where = anchor[chosen], block[chosen] & (MANY - 1)
+        order = np.argsort(where, kind="stable")
+        held, where = held[order], where[order]
+        if not len(where):
+            continue
+        cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        blocks += where[cuts].tolist()
+        kinds += [kind] * len(cuts)
+        packed += [held[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(where)], strict=True)]
+    return pa.table({"block": pa.array(blocks, pa.int32()), "kind": pa.array(kinds, pa.int32()), "packed": pa.array(packed, pa.binary())})
 
 
 def _stretches(docs: pa.Table, back: pa.Table, window: int):
     """The block's distinct stretches with shared anchors, in a fixed order, and where they occur.
 
-    Returns per stretch (words, anchor, least doc_id, windows) and per row of ``docs`` (in the
-    order of doc_id) its word hashes' run and the occurrences (first window, stretch)."""
-    known = [np.frombuffer(b.as_buffer(), np.uint64) for b, k in zip(back.column("packed"), back.column("kind").to_pylist(), strict=True) if k == 1]
-    known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
-    docs = docs.sort_by("doc_id")
+    Returns per stretch (words, key, least doc_id) and per row of ``docs`` (in the order of
+    doc_id and text, so that rows that share a doc_id are numbered alike in every task) its word
+    hashes' run and the occurrences (first window, stretch)."""
+    sent = lambda kind: [np.frombuffer(b.as_buffer(), np.uint64) for b, k in zip(back.column("packed"), back.column("kind").to_pylist(), strict=True) if k == kind]
+    hot, known = (np.unique(np.concatenate([np.zeros(0, np.uint64), *sent(kind)])) for kind in (0, 1))
+    docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     is_word, values = not_space(), byte_values(lower=False)
     ids = docs.column("doc_id").to_numpy()
-    found: dict[bytes, int] = {}
+    found: dict[tuple[int, bytes], int] = {}
     stretches: list[tuple] = []
     rows = []
     texts = docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string())
     for i, j, data, offsets in runs(texts):
         w = Words(data, offsets, is_word, values)
-        first, end, anchor = anchors(w, window)
+        first, end, anchor, place = anchors(w, window)
         if len(known):
             hit = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
         else:
             hit = np.zeros(len(anchor), bool)
-        first, end, anchor = first[hit], end[hit], anchor[hit]
+        first, end, anchor = extended(w, window, first[hit], end[hit], anchor[hit], place[hit], hot)
         row = np.searchsorted(w.first, first, side="right") - 1
         raw = data.tobytes()
         lo, hi = w.start[first], w.end[end + window - 2] if len(end) else end
         places: list[list[tuple[int, int]]] = [[] for _ in range(j - i)]
-        for a, r, h, x, y, n in zip(first.tolist(), row.tolist(), anchor.tolist(), lo.tolist(), hi.tolist(), (end - first).tolist(), strict=True):
+        for a, r, h, x, y in zip(first.tolist(), row.tolist(), anchor.tolist(), lo.tolist(), hi.tolist(), strict=True):
             words = b" ".join(raw[x:y].split())
-            at = found.get(words)
+            at = found.get((h, words))
             if at is None:
-                at = found[words] = len(stretches)
-                stretches.append((words, h, int(ids[i + r]), n))
+                at = found[h, words] = len(stretches)
+                stretches.append((words, h, int(ids[i + r])))
             places[r].append((a, at))
-        rows.append((i, j, w, raw, places))
+        rows.append((i, j, w, raw, offsets.tolist(), places))
     return ids, stretches, rows
 
 
@@ -301,18 +335,18 @@ def _remove(window: int, keep_text: bool):
             if kind >= 2:
                 first_docs[kind - 2] = np.frombuffer(packed.as_buffer(), np.int64)
         n_words, n_removed, kept, texts = [], [], [], []
-        for i, j, w, raw, places in rows:
+        for i, j, w, raw, offsets, places in rows:
             for d in range(i, j):
-                a, b = int(w.first[d - i]), int(w.first[d - i + 1])
-                marks = np.zeros(b - a + 1, np.int64)
-                for at, stretch in places[d - i]:
-                    earlier = np.flatnonzero(first_docs[stretch] < ids[d]) + at - a
-                    np.add.at(marks, earlier, 1)
-                    np.add.at(marks, earlier + window, -1)
-                stay = np.flatnonzero(np.cumsum(marks[:-1]) == 0) + a
-                text = b" ".join([raw[x:y] for x, y in zip(w.start[stay].tolist(), w.end[stay].tolist(), strict=True)])
-                n_words.append(b - a)
-                n_removed.append(b - a - len(stay))
+                a, words = int(w.first[d - i]), raw[offsets[d - i] : offsets[d - i + 1]].split()
+                n = len(words)
+                earlier = [np.flatnonzero(first_docs[stretch] < ids[d]) + at - a for at, stretch in places[d - i]]
+                earlier = np.concatenate(earlier) if earlier else np.zeros(0, np.int64)
+                if len(earlier):
+                    marks = np.bincount(earlier, minlength=n + 1) - np.bincount(earlier + window, minlength=n + 1)
+                    words = list(compress(words, (np.cumsum(marks[:n]) == 0).tolist()))
+                text = b" ".join(words)
+                n_words.append(n)
+                n_removed.append(n - len(words))
                 kept.append(hashlib.sha256(text).hexdigest())
                 texts.append(text.decode() if keep_text else None)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(kept, pa.string()), "kept_text": pa.array(texts, pa.string())})
@@ -328,8 +362,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, keep_text: bool = True) -
 
     ``docs`` needs doc_id (integer) and text; other columns are ignored.  Words are
     ``[^\\x20\\x09-\\x0D]+``, unchanged; kept words are joined by one space, and kept_sha256 is
-    the hex digest of that.  Null and empty texts have no words.  Rows with one doc_id are one
-    another's equals: neither is earlier.  Rows without doc_id come after all others and do
+    the hex digest of that.  Null and empty texts have no words.  Rows with one doc_id, whatever
+    their texts, are one another's equals: neither is earlier.  Rows without doc_id come after all others and do
     not make other rows lose words, nor lose any themselves.  An empty table gives an empty result.
     ``keep_text`` false leaves kept_text null.
     """

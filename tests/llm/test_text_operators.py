@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 from skarn.llm import decontaminate, language_id, license_scan, ngram_join, secret_scan, substring_dedup
+from skarn.llm.textkit import Words, byte_values, not_space
 
 SCHEMA = "doc_id long, text string, block int, rep long"  # the last two clash with inner names
 
@@ -32,7 +33,9 @@ def corpus(seed=1, n=60):
     return [*((i * 7 % 997, t) for i, t in enumerate(docs)), (1000, None), (1001, ""), (1002, "   "), (1003, "long " * 20000), (1004, "one")]
 
 
-def test_substring_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [256, 0])
+def test_substring_dedup_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_BLOCKS", hot)
     rows = corpus()
     got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(frame(spark, rows), window=5).collect()}
     first: dict[tuple, int] = {}
@@ -53,22 +56,84 @@ def test_substring_dedup_odd_rows(spark):
     assert substring_dedup.substring_dedup(frame(spark, []), window=3).count() == 0
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (2, 60)])
-def test_ngram_join_equals_brute_force(spark, k, percent):
-    rows = corpus(2, 120)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(frame(spark, rows), k, percent).collect()}
-    sets = {}
+def test_substring_dedup_of_texts_that_share_a_doc_id(spark):
+    r = random.Random(31)
+    words = [f"w{k}" for k in range(9)]
+    rows = [(r.randrange(6), " ".join(r.choices(words, k=r.randint(3, 20)))) for _ in range(40)]
+    first: dict[tuple, int] = {}
+    for i, t in sorted(rows):
+        w = t.split()
+        for j in range(len(w) - 2):
+            first.setdefault(tuple(w[j : j + 3]), i)
+    expected = []
     for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
-    comp = {i: i for i in sets}
-    for a in sets:
-        for b in sets:
-            both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and comp[a] != comp[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                low, high = sorted((comp[a], comp[b]))
-                comp = {i: low if c == high else c for i, c in comp.items()}
-    assert got == {i: (len(s), comp[i]) for i, s in sets.items()}
+        w = t.split()
+        gone = {x for j in range(len(w) - 2) if first[tuple(w[j : j + 3])] < i for x in range(j, j + 3)}
+        expected.append((i, len(w), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = substring_dedup.substring_dedup(frame(spark, rows), window=3).collect()
+        assert sorted((x["doc_id"], x["n_words"], x["kept_text"]) for x in got) == sorted(expected)
+
+
+@pytest.mark.parametrize("window", [4, 5, 8, 13])
+def test_extended_anchors_are_equal_in_equal_windows(window):
+    r = random.Random(window)
+    texts = [" ".join(r.choices(["aaaa", "bbbb", "cc", "d"], k=r.randint(0, 60))) for _ in range(30)]
+    data = "".join(texts).encode()
+    w = Words(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]), not_space(), byte_values(False))
+    first, end, anchor, place = substring_dedup.anchors(w, window)
+    keys: dict[tuple, int] = {}
+    seen = []
+    for a, b, h in zip(*substring_dedup.extended(w, window, first, end, anchor, place, np.unique(anchor)), strict=True):
+        for i in range(a, b):
+            seen.append(i)
+            assert keys.setdefault(tuple(w.hash[i : i + window].tolist()), int(h)) == int(h)
+    assert sorted(seen) == sorted(i for a, b in zip(first, end, strict=True) for i in range(a, b))
+
+
+def shingles(t, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    return frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset({tuple(w)} - {()})
+
+
+def linked(a, b, percent):
+    return bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+
+
+def brute_components(rows, k, percent):
+    """(doc_id, n_shingles, component_id) of every row; rows of one doc_id are one document."""
+    sets = [(i, shingles(t, k)) for i, t in rows]
+    comp = {i: i for i, _ in rows}
+    for i, a in sets:
+        for j, b in sets:
+            if comp[i] != comp[j] and linked(a, b, percent):
+                low, high = sorted((comp[i], comp[j]))
+                comp = {x: low if c == high else c for x, c in comp.items()}
+    return sorted((i, len(s), comp[i]) for i, s in sets)
+
+
+def joined(spark, rows, k, percent):
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(frame(spark, rows), k, percent).collect())
+
+
+@pytest.mark.parametrize(("k", "percent", "small"), [(4, 85, 64), (2, 60, 64), (2, 60, 8), (1, 85, 8)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, k, percent, small):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    rows = corpus(2, 120)
+    assert joined(spark, rows, k, percent) == brute_components(rows, k, percent)
+
+
+def test_ngram_join_of_texts_that_share_a_doc_id(spark):
+    base = [f"t{k}" for k in range(40)]
+    near = lambda *at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(base))
+    other = [f"u{k}" for k in range(40)]
+    rows = [(7, near(3)), (7, " ".join(other)), (9, near(30)), (8, " ".join([*other[:20], "z", *other[21:]])), (5, near(3)), (5, "quite another text that nothing links with"), (11, "alone in the world here"), (7, near(3)), (7, None)]
+    expected = brute_components(rows, 2, 75)
+    assert {x[2] for x in expected if x[0] != 11} == {5}
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        assert joined(spark, rows, 2, 75) == expected
 
 
 def test_ngram_join_odd_rows(spark):
@@ -78,24 +143,74 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.ngram_jaccard_join(frame(spark, [])).count() == 0
 
 
-def test_big_block_is_tiled(spark, monkeypatch):
+@pytest.mark.parametrize("percent", [80, 95])
+def test_big_blocks_are_tiled(spark, monkeypatch, percent):
     monkeypatch.setattr(ngram_join, "TILE", 3)
     base = [f"t{k}" for k in range(60)]
-    rows = [(i, " ".join([*base[:30], f"x{i}", *base[31:]])) for i in range(20)]
-    got = ngram_join.ngram_jaccard_join(frame(spark, rows), 2, 80).collect()
-    assert {r["component_id"] for r in got} == {0}
-
-
-def test_count_tree_keeps_all_that_can_pass():
+    rows = [(i, " ".join([*base[: 30 - i], f"x{i}", *base[31 - i :]])) for i in range(20)]
+    rows += [(100 + i, " ".join([*base[:20], *(f"y{i // 4}" for _ in range(20)), f"z{i}", *base[45:]])) for i in range(12)]
+    assert joined(spark, rows, 1, percent) == brute_components(rows, 1, percent)
+
+
+def test_links_are_all_pairs_between_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    rows = [*corpus(5, 60), (2000, corpus(5, 60)[3][1])]
+    links, members = ngram_join.ngram_jaccard_links(frame(spark, rows), 2, 60)
+    found, own = links.collect(), {r["doc_id"]: r["rep"] for r in members.collect()}
+    texts: dict[frozenset, int] = {}
+    for i, t in sorted(rows):
+        if shingles(t, 2):
+            texts.setdefault(shingles(t, 2), i)
+    expected = {(min(i, j), max(i, j), len(a & b)) for a, i in texts.items() for b, j in texts.items() if i != j and linked(a, b, 60)}
+    got = [(min(r["a"], r["b"]), max(r["a"], r["b"]), r["shared"]) for r in found]
+    assert len(expected) > 5 and set(got) == expected and len(got) == len(expected)
+    assert own == {i: texts.get(shingles(t, 2)) for i, t in rows}
+
+
+def test_crowds_tie_and_small_sets_keep_apart(monkeypatch):
+    """Many short sets with a common shingle: none but those that can link tie, and a crowd ties by a star."""
+    r = np.random.default_rng(3)
+    common = r.integers(0, 1 << 62, 6).astype(np.uint64)
+    sets = [np.unique(np.r_[common, r.integers(0, 1 << 62, 8).astype(np.uint64)]) for _ in range(300)]
+    near = np.sort(np.r_[sets[7][:-1], np.uint64(5)])
+    bands, often = ngram_join.Bands(85), np.zeros(ngram_join.SEEN, np.uint16)
+    for s in sets:
+        np.add.at(often, ngram_join.seen_at(s), 1)
+    assert not set(common.tolist()) & {x for s in sets for x in ngram_join.prefix(s, bands, often).tolist()}
+    every = [*sets, near]
+    low, high = (np.array(x, np.uint64) for x in zip(*map(ngram_join.nibbles, every), strict=True))
+    found = ngram_join.forest(ngram_join.spread_counts(low, high), np.array([len(s) for s in every]), 85)
+    assert (300, 7) in found and len(found) < 5
+
+
+def test_many_short_texts_that_share_shingles(spark):
+    """20,000 texts of a dozen words with a phrase in common: no block grows with the number of texts."""
+    r = random.Random(17)
+    words = [f"w{k}" for k in range(5000)]
+    rows = [(i, " ".join([*r.choices(words, k=6), "all", "rights", "are", "reserved", "by", "us", *r.choices(words, k=5)])) for i in range(20_000)]
+    rows += [(30_000 + i, rows[i][1] + " again") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _, classes, sets = ngram_join._prepare(docs, 4, 85)
+    assert classes.count() == 20_050 and sets.groupBy("block").count().agg({"count": "max"}).first()[0] < 50
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert all(got[30_000 + i] == i for i in range(50)) and sum(i != c for i, c in got.items()) == 50
+
+
+@pytest.mark.parametrize("percent", [30, 80])
+def test_count_tree_keeps_all_that_can_pass(monkeypatch, percent):
+    monkeypatch.setattr(ngram_join, "LEAF", 4)
+    monkeypatch.setattr(ngram_join, "FAN", 3)
     r = np.random.default_rng(1)
-    sets = [np.unique(r.integers(0, 400, r.integers(1, 120)).astype(np.uint64)) for _ in range(200)]
+    sets = [np.unique(r.integers(0, 400, r.integers(1, 120)).astype(np.uint64)) for _ in range(150)]
+    sets += [np.unique(np.r_[s[2:], 999]).astype(np.uint64) for s in sets[:50] if len(s) > 12]
     points, sizes = ngram_join.counts(sets), np.array([len(s) for s in sets])
     tree = ngram_join.CountTree(points, sizes)
+    assert len(tree.levels) > 1
     for i, s in enumerate(sets):
-        found = set(tree.search(points[i], int(sizes[i]), 30).tolist())
+        found = set(tree.search(points[i], int(sizes[i]), percent).tolist())
         for j, t in enumerate(sets):
             both = len(np.intersect1d(s, t))
-            if 130 * both >= 30 * (len(s) + len(t)):
+            if (100 + percent) * both >= percent * (len(s) + len(t)):
                 assert j in found
 
 
