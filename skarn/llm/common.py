@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -53,16 +53,35 @@ def parts(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 
 
-def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
+def bounded_sample(rows: DataFrame, most: int, *key: str, n: int | None = None, wide: float = 1.3) -> DataFrame:
     """At most ``most`` of the rows, those first by a hash of ``key``; all rows if there are no more.
 
     The count tells which share of the hash's range to keep, so no task sends the driver more than
-    its part of the sample."""
-    order, span = F.shiftrightunsigned(F.xxhash64(*key), 2), 1 << 62
-    n = rows.count()
+    its part of the sample.  Rows that repeat a key lie at one place of the range: there may be
+    fewer than ``most`` in it, but for a larger ``wide``."""
+    order, span, name = F.shiftrightunsigned(F.xxhash64(*key), 2), 1 << 62, free(rows.columns, "_order")
+    n = rows.count() if n is None else n
     if n > most:
-        rows = rows.where(order < int(min(1.0, 1.3 * most / n + 200 / n) * span))
-    return rows.withColumn("_order", order).orderBy("_order", *key).limit(most).drop("_order")
+        rows = rows.where(order < int(min(1.0, wide * most / n + 200 / n) * span))
+    return rows.withColumn(name, order).orderBy(name, *key).limit(most).drop(name)
+
+
+SAMPLE_BYTES, SAMPLE_TEXT = 64 << 20, 1 << 20
+
+
+def sample_texts(rows: DataFrame, most: int) -> list[Row]:
+    """At most ``most`` rows (doc_id, text, ...) for training, those first by a hash of both, on the driver.
+
+    Texts of over ``SAMPLE_TEXT`` bytes are not drawn, and rows end where their texts reach
+    ``SAMPLE_BYTES``, so the driver's share is bounded in rows and in bytes."""
+    rows = rows.where(F.octet_length("text") <= SAMPLE_TEXT)
+    size = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))  # ``most`` rows
+    n, wide = rows.count(), 1.3
+    while True:
+        drawn = bounded_sample(rows, most, "doc_id", "text", n=n, wide=wide).withColumn("_size", size).orderBy("doc_id", "text").collect()
+        if len(drawn) >= 0.9 * min(most, n) or wide * most > n:
+            return [r for r in drawn if r["_size"] <= SAMPLE_BYTES]
+        wide *= 64
 
 
 class Router:
@@ -74,15 +93,15 @@ class Router:
 
     SCHEMA = "bucket int, packed binary"
 
-    def __init__(self, buckets: int, fields: list[str]):
-        self.buckets, self.fields = buckets, fields
+    def __init__(self, buckets: int, fields: list[str], most: int = FLUSH_BYTES):
+        self.buckets, self.fields, self.most = buckets, fields, most
         self.size, self.held = sum(np.dtype(f).itemsize for f in fields), []
         self.bytes = 0
 
     def add(self, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append((bucket, *columns))
         self.bytes += len(bucket) * self.size
-        if self.bytes >= FLUSH_BYTES:
+        if self.bytes >= self.most:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -127,6 +146,14 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def plainly(docs: DataFrame) -> DataFrame:
+    """``docs`` with names that Arrow functions take: those with dots, spaces or backticks get others, in place."""
+    names: list[str] = []
+    for i, c in enumerate(docs.columns):
+        names.append(c if c.isidentifier() else free([*docs.columns, *names], f"_c{i}"))
+    return docs.toDF(*names)
+
+
 def with_fields(schema: StructType, *more: str) -> StructType:
     """``schema`` and more fields, each as "name type" with a name that is free in ``schema``."""
     return StructType([*schema.fields, *StructType.fromDDL(", ".join(more)).fields])
@@ -143,46 +170,100 @@ HOT_KEYS = 10_000
 HOT_ROWS = 200
 
 
-def spread_join(big: DataFrame, small: DataFrame, counts: DataFrame, rows: int, on: list[str], how: str = "inner") -> DataFrame:
-    """``big`` joined with ``small``, which has each key once, without a task that gets all rows of a hot key.
+def hot_above(rows: int) -> int:
+    """Keys with more of the ``rows`` than this are hot: less than ``HOT_KEYS`` keys, by arithmetic."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def spread_join(big: DataFrame, small: DataFrame, rows: int, on: list[str], n: str = "n") -> DataFrame:
+    """``big`` inner joined with ``small`` without a task that gets all rows of a hot key.
+
+    ``small`` has each key once and ``n``, the number of its rows in ``big``, which has ``rows`` in
+    all.  As there are less than ``HOT_KEYS`` hot keys, their rows of ``small`` are broadcast and
+    ``big`` isn't shuffled for them; the rest meets by a shuffle."""
+    small = checkpoint(small)
+    hot = small.where(F.col(n) > hot_above(rows))
+    if not hot.limit(1).count():
+        return big.join(small, on)
+    rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small, on)
+    return big.join(F.broadcast(hot), on).unionByName(rest)
+
 
-    ``counts`` has the keys of ``big`` and n, their rows; ``rows`` is the number of all.  Keys with
-    over ``rows / HOT_KEYS`` rows number less than ``HOT_KEYS`` by arithmetic, so their rows of
-    ``small`` are broadcast and ``big`` isn't shuffled for them; the rest meets by a shuffle."""
-    hot = counts.where(F.col("n") > max(HOT_ROWS, rows // HOT_KEYS)).select(*on)
-    spread = big.join(F.broadcast(small.join(F.broadcast(hot), on, "left_semi")), on)
-    if how == "left":  # hot keys that ``small`` lacks
-        lacking = hot.join(small.select(*on), on, "left_anti")
-        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in small.schema if f.name not in on]
-        spread = spread.unionByName(big.join(F.broadcast(lacking), on, "left_semi").select(*big.columns, *nothing))
-    return spread.unionByName(big.join(F.broadcast(hot), on, "left_anti").join(small, on, how))
+FOREST_EDGES = 1 << 21
+
+
+def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that the edges reach from it), for nodes other than that."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        low, new = np.minimum(x, y), root.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        while not np.array_equal(up := new[new], new):
+            new = up
+        if np.array_equal(new, root):
+            break
+        root = new
+    child = root != np.arange(len(nodes))
+    return nodes[child], nodes[root[child]]
+
+
+def _forests(whole: bool):
+    """Star forests of a task's edges, of all of them or of ``FOREST_EDGES`` at a time."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def close():
+            u, v = star_forest(*(np.concatenate([h[c] for h in held]) for c in (0, 1)))
+            held.clear()
+            return u, v
+
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("u", "v")))
+            size += batch.num_rows
+            if size >= FOREST_EDGES:
+                u, v = close()
+                if whole:
+                    held.append((u, v))
+                    size = len(u) // 2  # the forest of all nodes so far may be larger than what is read between
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                    size = 0
+        if held:
+            u, v = close()
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), the least node.
 
-    Alternating large-star and small-star rounds; each round is two grouped minima and joins on
-    the node, checkpointed.  The edges of hot nodes (the centre of a large group) stay where they
-    are and meet the minimum by a broadcast of bounded size.  Nodes without an edge to another
+    Rounds of two steps, checkpointed.  The first gives a node's larger neighbours the node's least
+    neighbour (a grouped minimum and a join); edges of hot nodes, such as the centre of a large
+    group, stay where they are and meet the minimum by a broadcast of bounded size.  The second
+    makes star forests of the edges within tasks, before and after they are dealt by their larger
+    node, so that a hot one has no more than an edge per task.  Nodes without an edge to another
     node are not returned.
     """
-    e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    rows = e.count()
-    while rows:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        near = spread_join(both, least.select("u", F.least("m", "u").alias("m")), least.select("u", "n"), 2 * rows, ["u"])
-        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        joined = spread_join(large, small_least.select("u", "m"), small_least.select("u", "n"), 2 * rows, ["u"])
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = checkpoint(small)
-        # A forest of stars: no node is both a child and a parent, and each child has one parent.
-        state = e.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("rows")).first()
-        rows = state["rows"] or 0
-        parents = e.groupBy("v").agg(F.count("*").alias("n")).select(F.col("v").alias("u"))
-        if (state["n"] or 1) == 1 and not e.join(parents, "u", "left_semi").limit(1).count():
+    p = width(edges.sparkSession)
+    stars = lambda e: e.repartition(p, "u").mapInArrow(_forests(True), "u long, v long")
+    first = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    e = checkpoint(stars(first.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
+    while True:
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        degree = ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+        state = degree.agg(F.max("up").alias("up"), F.max("n").alias("n"), F.sum("n").alias("rows"), F.max(((F.col("up") > 0) & (F.col("up") < F.col("n"))).cast("int")).alias("chained")).first()
+        if (state["up"] or 1) == 1 and not state["chained"]:  # a forest of stars
             break
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count("*").alias("n"))
+        near = spread_join(both, least, state["rows"], ["u"]) if state["n"] > hot_above(state["rows"]) else both.join(least.drop("n"), "u")
+        e = checkpoint(stars(near.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).mapInArrow(_forests(False), "u long, v long")))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

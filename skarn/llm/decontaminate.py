@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import plainly
 from .textkit import Words, alphanumeric, byte_values, runs
 
 BLOCK_BYTES = 16 << 20
@@ -165,7 +166,11 @@ def _without(items: Items):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, budget: float = 0.15) -> DataFrame:
-    """``docs`` with all its columns, without the rows that hold an item within its budget."""
+    """``docs`` with all its columns, whatever their names, without the rows that hold an item within its budget.
+
+    Nulls, empty texts and empty tables are as in ``benchmark_matches``.  Each ``BLOCK_BYTES`` of
+    items is a further pass over the documents."""
+    plain = plainly(docs)
     for items in item_blocks(benchmark, budget):
-        docs = docs.mapInArrow(_without(items), docs.schema)
-    return docs
+        plain = plain.mapInArrow(_without(items), plain.schema)
+    return plain.toDF(*docs.columns)

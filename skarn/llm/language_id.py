@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import sample_texts
 from .textkit import Words, alphanumeric, byte_values, mix, runs
 
 BUCKETS = 1 << 14
@@ -104,9 +104,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, sample: int = 3000, reject: float = 0.01) -> Model | None:
-    """Fits a model on at most ``sample`` rows of (doc_id, text, lang), by a hash of doc_id."""
-    learn = bounded_sample(docs.where("lang IS NOT NULL AND text IS NOT NULL"), sample, "doc_id")
-    rows = learn.where("text RLIKE '\\\\p{L}'").orderBy("doc_id", "text").select("text", "lang").collect()  # ``sample`` rows: a stated bound
+    """Fits a model on at most ``sample`` rows of (doc_id, text, lang), as ``sample_texts`` bounds them;
+    None where nothing has a language and a letter.  Other columns are ignored."""
+    rows = sample_texts(docs.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("doc_id", "text", "lang"), sample)
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None

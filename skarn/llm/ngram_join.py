@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FLUSH_BYTES, Router, checkpoint, components, parts, spread_join, text_bytes, unpack, width, written
+from .common import Router, checkpoint, components, parts, spread_join, star_forest, text_bytes, unpack, width, written
 from .textkit import Words, byte_values, mix, not_space, runs
 
 RATIO = 1.3
@@ -46,6 +46,7 @@ SMALL = 64
 LEAST = 2
 TILE, TILE_BYTES = 1500, 16 << 20
 CROWD = 2000
+HELD_BYTES = 8 << 20
 COUNTS = 64
 LEAF, FAN = 16, 16
 SEEN, PIECE = 1 << 20, 1 << 12
@@ -220,12 +221,12 @@ class Entries:
         self.buckets = buckets
         self.held: tuple[list, list] = ([], [])
         self.bytes = [0, 0]
-        self.out = Router(3 * buckets, TIE), Router(3 * buckets, GROUP), Router(3 * buckets, RARE)
+        self.out = [Router(3 * buckets, f, HELD_BYTES) for f in (TIE, GROUP, RARE)]
 
     def add(self, kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held[kind].append(columns)
         self.bytes[kind] += len(columns[0]) * (16, 36)[kind]
-        if self.bytes[kind] >= FLUSH_BYTES:
+        if self.bytes[kind] >= HELD_BYTES:
             yield from self.meet(kind)
 
     def meet(self, kind: int) -> Iterator[pa.RecordBatch]:
@@ -316,8 +317,8 @@ def _ties(percent: int, buckets: int):
                     pairs += [(x + i, x + j) for i, j in forest(spread_counts(low[x:y], high[x:y]), size[x:y].astype(np.int64), percent)]
             at = np.array(pairs, np.int64).reshape(-1, 2)
             a, b = key[at[:, 0]], key[at[:, 1]]
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        a, b = star_forest(a, b)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -489,11 +490,11 @@ def _tile_counts(sets: DataFrame) -> DataFrame:
 def _of_blocks(sets: DataFrame, blocks: DataFrame) -> DataFrame:
     """``sets`` of the blocks, with the blocks' other columns but n; a block may hold most sets."""
     rows = blocks.agg(F.sum("n").alias("n")).first()["n"] or 0
-    return spread_join(sets, blocks.drop("n"), blocks.select("block", "n"), rows, ["block"])
+    return spread_join(sets, blocks, rows, ["block"]).drop("n")
 
 
 def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(every row with its set's key, distinct sets with their least doc_id, sets of blocks)."""
+    """(every row with its set's key, distinct sets with their least doc_id and number of rows, sets of blocks)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     p = width(spark)
@@ -505,8 +506,8 @@ def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     entered = known.select("text").mapInArrow(_enter(k, percent, buckets, often), Router.SCHEMA)
     ties = entered.repartition(p, "bucket").groupBy("bucket").applyInArrow(_ties(percent, buckets), "a long, b long")
     blocks = components(ties).select(F.col("node").alias("k1"), F.col("component").alias("block"))
-    first = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th")).alias("f"))
-    classes = checkpoint(first.select("k1", "k2", F.col("f.doc_id").alias("rep"), F.col("f.th").alias("th")))
+    first = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.count("*").alias("n"))
+    classes = checkpoint(first.select("k1", "k2", "n", F.col("f.doc_id").alias("rep"), F.col("f.th").alias("th")))
     placed = classes.join(blocks, "k1").join(known.withColumnRenamed("doc_id", "rep"), ["rep", "th"]).select("rep", "block", "k1", "k2", "text")
     return every, classes.drop("th"), written(placed.mapInArrow(_sets(k), "rep long, k1 long, k2 long, block long, packed binary"))
 
@@ -547,9 +548,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     several = known.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x <> y").select("doc_id")
     tied = known.join(several, "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct().join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = checkpoint(components(_linked(sets, percent).select("a", "b").unionByName(tied)))
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     texts = known.where("n_shingles > 0")
-    told = spread_join(texts, named, texts.groupBy("k1", "k2").agg(F.count("*").alias("n")), texts.count(), ["k1", "k2"])
+    told = spread_join(texts, named, texts.count(), ["k1", "k2"])
     empty = known.where("n_shingles = 0").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = told.unionByName(empty, allowMissingColumns=True).unionByName(every.where("doc_id IS NULL"), allowMissingColumns=True)
     return out.select("doc_id", "n_shingles", F.least(F.coalesce("component", "doc_id"), "doc_id").alias("component_id"))
@@ -566,5 +567,7 @@ def ngram_jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple
     """
     every, classes, sets = _prepare(docs, k, percent)
     links = _deal(sets.withColumn("part", F.lit(0).cast("long")), _tile_counts(sets), percent, True, whole=True)
-    members = spread_join(every, classes, every.groupBy("k1", "k2").agg(F.count("*").alias("n")), every.count(), ["k1", "k2"], "left")
-    return links, members.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep"), "n_shingles")
+    texts = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    others = every.where("n_shingles = 0 OR doc_id IS NULL")
+    members = spread_join(texts, classes, texts.count(), ["k1", "k2"]).unionByName(others, allowMissingColumns=True)
+    return links, members.select("doc_id", "rep", "n_shingles")

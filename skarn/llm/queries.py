@@ -41,11 +41,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of documents, with posteriors by domain in columns."""
+    """Rates of documents, with posteriors by domain in columns, and what the fit leaves: the largest
+    difference between a domain's share of tokens reached and wanted."""
     docs = table(spark, sf_dir, "documents")
     model = mixing.train(docs, table(spark, sf_dir, "labels"), list(mixing.TARGETS))
-    out = mixing.mix_to_targets(docs.select("doc_id", "text"), model, mixing.TARGETS)
-    return out.select("doc_id", "n_tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(mixing.TARGETS)), "rate")
+    out, fitted = mixing.mix_to_targets(docs.select("doc_id", "text"), model, mixing.TARGETS)
+    return out.select("doc_id", "n_tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(mixing.TARGETS)), "rate", F.lit(fitted.residual).alias("residual"), F.lit(fitted.converged).alias("converged"))
 
 
 def held_out():
@@ -70,7 +71,8 @@ def op8_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.quality_scores(docs, model).select("doc_id", "p_text", "host_rate", "path_rate", "score", "keep")
+    out = quality.quality_scores(docs.select("doc_id", "text", "source", "lang"), model, keep_text=False)
+    return out.select("doc_id", "p_text", "host_rate", "path_rate", "score", "keep")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

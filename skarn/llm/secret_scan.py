@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpoint
+from .common import bounded_sample, checkpoint, plainly
 from .textkit import buffers
 
 SHORTEST = 12
@@ -359,6 +359,8 @@ def secret_scan(docs: DataFrame, model: CharCNN | None = None, examples: int = 3
 def secret_scan_in_place(docs: DataFrame, model: CharCNN | None = None, mask: str = "<SECRET>", examples: int = 3000) -> DataFrame:
     """``docs`` with all its columns; each stretch of text that spans cover is replaced by ``mask``.
 
-    n_chars, if there is such a column, follows the texts that change.  Null texts stay null."""
-    model = train(docs, examples) if model is None else model
-    return docs.mapInArrow(_mask(model, mask), docs.schema)
+    n_chars, if there is such a column, follows the texts that change.  Null texts stay null; other
+    columns stay as they are, whatever their names."""
+    model = train(docs.select("doc_id", "text"), examples) if model is None else model
+    plain = plainly(docs)
+    return plain.mapInArrow(_mask(model, mask), plain.schema).toDF(*docs.columns)

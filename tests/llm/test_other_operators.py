@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from skarn.llm import ann_forest, common, mixing, quality, url_filters
 
@@ -91,29 +92,123 @@ def labelled(spark):
 def test_quality_keeps_clean_documents(spark):
     docs, labels = labelled(spark)
     model = quality.train(docs.where("doc_id < 300"), labels)
-    out = quality.quality_scores(docs.drop("score"), model)
+    out = quality.quality_scores(docs, model)
     got = {x["doc_id"]: x["keep"] for x in out.collect()}
     assert len(got) == 403 and all(got[i] == (i % 5 != 0) for i in range(300, 400))
-    plain = quality.quality_scores(docs.drop("score"), None)
-    assert plain.where("keep").count() == 403
+    assert out.columns == ["doc_id", "text", "lang", "source", "p_text", "host_rate", "path_rate", "score", "keep"]
+    assert quality.quality_scores(docs, model, keep_text=False).columns == [c for c in out.columns if c != "text"]
+    assert quality.quality_scores(docs, None).where("keep").count() == 403
     assert quality.train(docs, labels.where("false")) is None
-    assert quality.quality_scores(docs.drop("score").where("false"), model).count() == 0
+    assert quality.quality_scores(docs.where("false"), model).count() == 0
 
 
-def test_site_posteriors_shrink(spark):
+CLASHING = ["keep", "Score", "p_text", "_bad", "host", "path", "n", "bad", "host_n", "host_bad", "path_rate", "base_rate", "host_rate", "_order", "_rows", "rows", "n_tokens", "Posterior", "rate", "k1", "th", "block", "a.b", "c`d", "e f"]
+
+
+def clashing(docs):
+    return docs.drop("score").withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in CLASHING})
+
+
+def test_columns_of_clashing_names_stay(spark):
+    docs, labels = labelled(spark)
+    docs = clashing(docs.unionByName(docs.where("doc_id IN (0, 1)"))).repartition(3)
+    model = quality.train(docs, labels)
+    kept = quality.quality_filter(docs, model)
+    rows = kept.collect()
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in rows if r["text"]) == sorted(str(r["doc_id"]) for r in docs.collect() if r["text"] and (r["doc_id"] is None or r["doc_id"] % 5))
+    assert all(r[c] == c + str("" if r["doc_id"] is None else r["doc_id"]) for r in rows for c in CLASHING)
+    scored = quality.quality_scores(docs, model)
+    assert [c for c in scored.columns if c.lower() in quality.OUTPUTS] == list(quality.OUTPUTS) and scored.schema["score"].dataType.simpleString() == "double"
+    mixed, _ = mixing.mix_to_targets(docs, mixing.train(docs, labels, ["en", "fr"]), {"en": 1.0, "fr": 1.0}, keep_text=True)
+    got = mixed.collect()
+    assert len(got) == 405 and mixed.columns == [c for c in docs.columns if c.lower() not in ("n_tokens", "posterior", "rate")] + ["n_tokens", "posterior", "rate"]
+    assert all(r["a.b"] == "a.b" + str("" if r["doc_id"] is None else r["doc_id"]) and r["rate"] >= 0 for r in got)
+
+
+def test_many_sites_give_the_same_scores(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    model = quality.train(docs, labels)
+    few = sorted(map(tuple, quality.quality_scores(docs.drop("doc_id"), model).collect()), key=str)
+    monkeypatch.setattr(quality, "MAX_BROADCAST_SITES", 0)
+    many = sorted(map(tuple, quality.quality_scores(docs.drop("doc_id"), model).collect()), key=str)
+    assert len(few) == 403 and few == many
+
+
+def test_posteriors_equal_brute_force(spark):
+    docs, labels = labelled(spark)
+    model = quality.train(docs, labels)
+    rows = quality.quality_scores(docs, model).toPandas()
+    assert np.allclose(rows.p_text, 1 - model.predict(pa.array(rows.text, pa.string()))[:, 0])
+    bad = rows.p_text.to_numpy()
+    sites = list(zip(rows.source.fillna(""), rows.lang.fillna(""), strict=True))
+
+    def strength(groups, mean):
+        n, rate = np.array([len(g) for g in groups], float), np.array([bad[g].mean() for g in groups])
+        mean = np.array(mean)
+        excess = (n * (rate - mean) ** 2).sum() - (mean * (1 - mean)).sum()
+        size = n.sum() - (n * n).sum() / n.sum()
+        return min(max(size / excess * (mean * (1 - mean)).max() - 1, 1.0), 1e4) if excess > 0 else 1e4
+
+    base = (bad.sum() + 0.5) / (len(bad) + 1)
+    hosts = {h: [i for i, s in enumerate(sites) if s[0] == h] for h in {s[0] for s in sites}}
+    paths = {p: [i for i, s in enumerate(sites) if s == p] for p in set(sites)}
+    host_k = strength(list(hosts.values()), [base] * len(hosts))
+    rate = lambda h: (bad[hosts[h]].sum() + host_k * base) / (len(hosts[h]) + host_k)
+    path_k = strength(list(paths.values()), [rate(p[0]) for p in paths])
+    logit = lambda x: np.log(min(max(x, 1e-9), 1 - 1e-9) / (1 - min(max(x, 1e-9), 1 - 1e-9)))
+    for i, (h, p) in enumerate(sites):
+        host = (max(bad[hosts[h]].sum() - bad[i], 0) + host_k * base) / (len(hosts[h]) - 1 + host_k)
+        path = (max(bad[paths[h, p]].sum() - bad[i], 0) + path_k * host) / (len(paths[h, p]) - 1 + path_k)
+        odds = logit(bad[i]) + logit(path) - logit(base)
+        assert np.allclose([rows.host_rate[i], rows.path_rate[i], rows.score[i]], [host, path, 1 / (1 + np.exp(-odds))], atol=1e-9)
+        assert rows.keep[i] == (rows.score[i] <= 0.5)
+
+
+def test_site_rates_shrink(spark):
     rows = [("big", "p", 0.9)] * 200 + [("small", "p", 0.9)] + [("good", "p", 0.0)] * 300
-    got = {x["_host"]: x for x in quality.site_posteriors(spark.createDataFrame(rows, "_host string, _path string, _bad double")).collect()}
-    assert got["good"]["host_rate"] < got["small"]["host_rate"] < got["big"]["host_rate"] < 0.9
+    sums, corpus = quality.site_sums(spark.createDataFrame(rows, "host string, path string, bad double"))
+    rates = quality.site_rates(corpus, *map(F.col, ("n", "bad", "host_n", "host_bad")))
+    got = {x["host"]: x["r"] for x in sums.select("host", rates[0].alias("r")).collect()}
+    assert got["good"] < got["small"] < got["big"] < 0.9
+
+
+def test_training_samples_are_bounded(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    copies = docs.select("doc_id", "text").where("doc_id = 3").crossJoin(spark.range(5000)).drop("id")
+    assert len(common.sample_texts(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").unionByName(copies), 300)) == 300
+    monkeypatch.setattr(common, "SAMPLE_BYTES", 2000)
+    rows = common.sample_texts(docs.select("doc_id", "text").where("text IS NOT NULL"), 300)
+    assert 5 < len(rows) and sum(len(r["text"].encode()) for r in rows) <= 2000
+    monkeypatch.setattr(common, "SAMPLE_TEXT", 10)
+    assert all(len(r["text"]) <= 10 for r in common.sample_texts(docs.select("doc_id", "text"), 300))
 
 
 def test_mixing_meets_targets(spark):
     docs, labels = labelled(spark)
     targets = {"en": 0.3, "fr": 0.7, "junk": 0.0}
     model = mixing.train(docs, labels, list(targets))
-    rows = mixing.mix_to_targets(docs.select("doc_id", "text"), model, targets).collect()
+    out, fitted = mixing.mix_to_targets(docs.select("doc_id", "text"), model, targets)
+    rows = out.collect()
     assert len(rows) == 403 and all(r["rate"] >= 0 for r in rows)
     n = np.array([r["n_tokens"] for r in rows])
     p, rate = np.array([r["posterior"] for r in rows]), np.array([r["rate"] for r in rows])
-    assert np.allclose((rate * n) @ p / n.sum(), [0.3, 0.7, 0.0], atol=0.02)
-    assert mixing.mix_to_targets(docs.select("doc_id", "text").where("false"), model, targets).count() == 0
-    assert mixing.mix_to_targets(docs.select("doc_id", "text"), None, targets).count() == 403
+    reached = (rate * n) @ p / n.sum()
+    assert np.allclose(reached, [0.3, 0.7, 0.0], atol=0.02)
+    assert np.allclose(reached, list(fitted.reached.values())) and fitted.converged and fitted.residual == max(abs(fitted.reached[d] - targets[d]) for d in targets)
+    assert mixing.mix_to_targets(docs.select("doc_id", "text").where("false"), model, targets)[0].count() == 0
+    assert mixing.mix_to_targets(docs.select("doc_id", "text"), None, targets)[0].count() == 403
+
+
+def test_mixing_equals_steps_in_numpy(spark):
+    """The same steps over all documents at once, and no better rates nearby."""
+    r = np.random.default_rng(7)
+    p, n = r.dirichlet([0.4, 0.4, 0.4], 200), r.integers(0, 50, 200)
+    base = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>").repartition(3)
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2}
+    fitted = mixing.fit(base, targets)
+    rate = mixing.rates(p, fitted.steps, 1e-3)
+    assert fitted.converged and fitted.residual < 1e-3 and np.allclose((rate * n) @ p / n.sum(), list(fitted.reached.values()))
+    loss = lambda x: ((((x * n) @ p / n.sum()) - [0.5, 0.3, 0.2]) ** 2).sum()
+    assert all(loss(np.maximum(0, rate + 0.2 * r.normal(size=200))) >= loss(rate) for _ in range(200))
+    with np.testing.assert_warns(UserWarning):
+        assert not mixing.fit(base, targets, steps=1).converged
