@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarn.llm import mixing, quality
-from skarn.llm.common import shared_folder, table
+from skarn.llm.common import column, free, shared_folder, table
 from skarn.llm.decontaminate import decontaminate
 from skarn.llm.ngram_join import ngram_jaccard_join
 from skarn.llm.secret_scan import secret_scan_in_place
@@ -14,19 +14,22 @@ from skarn.llm.secret_scan import secret_scan_in_place
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.quality_scores(docs, model).where("keep").select(docs.columns)
+    return quality.quality_filter(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the least doc_id.
 
-    Rows without doc_id stay; rows that repeat a doc_id are one document and leave one row."""
+    Rows without doc_id stay.  Rows that repeat a doc_id are one document and leave one row: that of
+    the least text, a null text last; of equal texts, that of the least other columns."""
     found = ngram_jaccard_join(docs, k=5, percent=80)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    rows = free(docs.columns, "rows")
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(rows))
     out = docs.join(kept, "doc_id")
-    single, repeated = out.where("_rows = 1"), out.where("_rows > 1").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).drop("_rows").unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.to_json(F.struct(*map(column, docs.columns))))
+    repeated = out.where(column(rows) > 1).withColumn(rows, F.row_number().over(order))
+    one = out.where(column(rows) == 1).unionByName(repeated.where(column(rows) == 1))
+    return one.select(*map(column, docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +43,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their texts, with n_tokens and the rate at which each is to be drawn."""
+    """The documents with n_tokens, their posteriors by domain and the rate at which each is to be drawn."""
     model = mixing.train(docs, table(spark, sf_dir, "labels"), list(mixing.TARGETS))
-    return mixing.mix_to_targets(docs, model, mixing.TARGETS)
+    return mixing.mix_to_targets(docs, model, mixing.TARGETS, keep_text=True)[0]
 
 
 STAGES = [
