@@ -18,8 +18,8 @@ similarity reaches a threshold.  The join is exact; nothing is sampled or capped
    ``n - least overlap + 1`` shingles have one in common, which is the key.  Many short texts
    share a phrase, so a key alone says little: an entry carries its set's counts by group, and
    only those tie whose overlap bound reaches what the threshold asks for.
-3. *Blocks.*  Ties (stars or forests, not all pairs) have connected components, the blocks.
-   Equal sets are one member throughout.
+3. *Blocks.*  Ties (stars or forests, not all pairs) have connected components, which are parted
+   by sizes to blocks: what links is in one of them.  Equal sets are one member throughout.
 4. *R-tree.*  Within a block, members' group counts are points of an R-tree.  A node's or a
    point's overlap is at most the sum of coordinate minima; what reaches the needed overlap is
    verified on the shingles.  Pairs already connected are not verified again.  A block over
@@ -43,7 +43,7 @@ from .textkit import Words, byte_values, mix, not_space, runs
 
 RATIO = 1.3
 SMALL = 64
-LEAST = 2
+LEAST = 1
 TILE, TILE_BYTES = 1500, 16 << 20
 CROWD = 2000
 HELD_BYTES = 8 << 20
@@ -418,16 +418,28 @@ def link(sets: list[np.ndarray], side: np.ndarray, part: np.ndarray, two: bool,
     return out
 
 
-def _sets(k: int):
+def doublings(n: int, bands: Bands) -> range:
+    """The powers of two below the sizes of a set and of its smaller partners."""
+    return range(bands.partner(n).bit_length() - 1, n.bit_length())
+
+
+def _sets(k: int, percent: int):
+    """Sets of blocks.  A block is parted by sizes: a set goes where its size is and where smaller partners may be."""
+
     def run(batches):
+        bands = Bands(percent)
         for batch in batches:
-            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            kept, packed = [], []
+            k1, k2, block = (batch.column(c).to_numpy() for c in ("k1", "k2", "block"))
+            kept, blocks, sizes, packed = [], [], [], []
             for row, s in shingle_sets(batch.column("text"), k):
                 if identity(s) == (k1[row], k2[row]):  # texts meet their classes by a hash
-                    kept.append(row)
-                    packed.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in ("rep", "k1", "k2", "block")), pa.array(packed, pa.binary())], names=["rep", "k1", "k2", "block", "packed"])
+                    for size in doublings(len(s), bands):
+                        kept.append(row)
+                        blocks.append(int(block[row]) ^ size)
+                        sizes.append(size)
+                        packed.append(s.tobytes())
+            blocks = mix(np.array(blocks, np.int64).view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in ("rep", "k1", "k2")), pa.array(blocks), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], names=["rep", "k1", "k2", "block", "size", "packed"])
 
     return run
 
@@ -444,7 +456,8 @@ def _tiles(percent: int, whole: bool):
         rows = list(held.values())
         sets = [np.frombuffer(r[3], np.uint64) for r in rows]
         found = link(sets, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), tile[1] != tile[2], percent, whole)
-        return [(rows[i][0], rows[j][0], both, len(sets[i]), len(sets[j])) for i, j, both in found]
+        own = [len(s).bit_length() - 1 for s in sets]  # a pair is told where the smaller set's size is
+        return [(rows[i][0], rows[j][0], both, len(sets[i]), len(sets[j])) for i, j, both in found if not whole or min(own[i], own[j]) == rows[i][4]]
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(5)], names=names)
@@ -454,13 +467,13 @@ def _tiles(percent: int, whole: bool):
         for batch in batches:
             out: list[tuple] = []
             tile = list(zip(*(batch.column(c).to_pylist() for c in ("block", "ti", "tj")), strict=True))
-            rep, k1, k2, chunk, part = (batch.column(c).to_pylist() for c in ("rep", "k1", "k2", "chunk", "part"))
+            rep, k1, k2, chunk, part, size = (batch.column(c).to_pylist() for c in ("rep", "k1", "k2", "chunk", "part", "size"))
             packed = batch.column("packed")
             for r, key in enumerate(tile):
                 if key != now:
                     out += close(now, held)
                     now, held = key, {}
-                held[k1[r], k2[r]] = (rep[r], int(chunk[r] != key[1]), part[r], packed[r].as_py())
+                held[k1[r], k2[r]] = (rep[r], int(chunk[r] != key[1]), part[r], packed[r].as_py(), size[r])
             yield batch_of(out)
         yield batch_of(close(now, held))
 
@@ -471,20 +484,20 @@ LINK = "a long, b long, shared long, n_a long, n_b long"
 
 
 def _deal(sets: DataFrame, tiles: DataFrame, percent: int, pairs: bool, whole: bool = False) -> DataFrame:
-    """Links in tiles of sets(rep, k1, k2, block, part, packed): each tile and, with ``pairs``, each two.
+    """Links in tiles of sets(rep, k1, k2, block, size, part, packed): each tile and, with ``pairs``, each two.
 
     ``tiles`` has the number of tiles of each block.  With ``pairs`` each tile goes to as many
     places as its block has tiles."""
     placed = _of_blocks(sets, tiles).withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), "tiles").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)) if pairs else F.col("chunk"))
-    out = placed.select("block", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"), "rep", "k1", "k2", "chunk", "part", "packed")
+    out = placed.select("block", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"), "rep", "k1", "k2", "chunk", "part", "size", "packed")
     return out.repartition(width(sets.sparkSession), "block", "ti", "tj").sortWithinPartitions("block", "ti", "tj").mapInArrow(_tiles(percent, whole), LINK)
 
 
 def _tile_counts(sets: DataFrame) -> DataFrame:
-    """(block, n, tiles): so many tiles that one holds about ``TILE`` sets and ``TILE_BYTES`` at most."""
+    """(block, n, tiles) of blocks with two sets at least: so many tiles that one holds about ``TILE`` sets and ``TILE_BYTES``."""
     tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("packed")) / TILE_BYTES))
-    return checkpoint(sets.groupBy("block").agg(F.count("*").alias("n"), tiles.cast("int").alias("tiles")))
+    return checkpoint(sets.groupBy("block").agg(F.count("*").alias("n"), tiles.cast("int").alias("tiles")).where("n > 1"))
 
 
 def _of_blocks(sets: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -509,7 +522,7 @@ def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     first = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.count("*").alias("n"))
     classes = checkpoint(first.select("k1", "k2", "n", F.col("f.doc_id").alias("rep"), F.col("f.th").alias("th")))
     placed = classes.join(blocks, "k1").join(known.withColumnRenamed("doc_id", "rep"), ["rep", "th"]).select("rep", "block", "k1", "k2", "text")
-    return every, classes.drop("th"), written(placed.mapInArrow(_sets(k), "rep long, k1 long, k2 long, block long, packed binary"))
+    return every, classes.drop("th"), written(placed.mapInArrow(_sets(k, percent), "rep long, k1 long, k2 long, block long, size int, packed binary"))
 
 
 def _linked(sets: DataFrame, percent: int) -> DataFrame:
