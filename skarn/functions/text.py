@@ -70,7 +70,7 @@ def basename(path: Column) -> Column:
 
 
 def is_env(path: Column) -> Column:
-    b = basename(path)
+    b = F.lower(basename(path))
     return b.isin(".env", ".envrc") | b.startswith(".env.") | b.endswith(".env") | b.contains(".env.")
 
 
@@ -152,6 +152,19 @@ def has_identifier(c: Column, literal: str) -> Column:
     return c.rlike(f"(?<!{edge}){quote(literal)}(?!{edge})")
 
 
+def camel_spaced(c: Column) -> Column:
+    """The text with spaces between the parts of its identifiers: before an upper-case letter that a lower-case one precedes or follows."""
+    return F.regexp_replace(F.regexp_replace(c, r"(\p{Ll})(\p{Lu})", "$1 $2"), r"([\p{L}\p{N}])(\p{Lu}\p{Ll})", "$1 $2")
+
+
+def byte_cut(c: Column, most: int) -> Column:
+    """The longest start of a text in at most ``most`` bytes of UTF-8, cut between characters."""
+    cut = F.substring(F.encode(c, "UTF-8"), 1, most)
+    whole = F.regexp_replace(F.hex(cut), "^((?:..)*?)(?:[CDEF].(?:[89AB].){0,2})?$", "$1")
+    last = F.regexp_extract(F.hex(F.substring(F.encode(c, "UTF-8"), most + 1, 1)), "^[89AB]", 0)  # the next byte goes on with a character
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.when(last == "", cut).otherwise(F.unhex(whole)), "UTF-8"))
+
+
 def identifier_words(c: Column) -> Column:
     """Words of an identifier: split at _, - and case boundaries, lower case, joined by spaces."""
     spaced = F.regexp_replace(F.regexp_replace(c, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")

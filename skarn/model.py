@@ -17,3 +17,4 @@ SECRET_EXTENSIONS = ["key", "pem", "crt", "cer", "cert"]
 
 RECORD = "path string, start_line int, end_line int, kind string, title string, text string, metadata string, source string, ordinal int"
 EDGE = "source_path string, relation string, target string, target_path string, record_id long"
+LANE = "lane_id int, lane string, rank int, record_id long, path string, start_line int, kind string"

@@ -70,3 +70,16 @@ def expected_best(scored: DataFrame, expected: DataFrame) -> DataFrame:
     mine = expected.join(scored, ["case_id", "mode"]).groupBy("case_id").agg(F.max(F.struct("recall_at_10", "mrr")).alias("own"))
     joined = expected.select("case_id").distinct().join(best, "case_id", "left").join(mine, "case_id", "left")
     return joined.select("case_id", F.col("own").isNotNull().alias("measured"), F.coalesce((F.col("own") == F.col("best")) & ((F.col("best.recall_at_10") > 0) | (F.col("best.mrr") > 0)), F.lit(False)).alias("supported"))
+
+
+def path_ranks(expected: DataFrame, retrieval: DataFrame, measured: DataFrame) -> DataFrame:
+    """(case_id, path, mode, rank) of expected(case_id, path) in retrieval(case_id, mode, path, rank).
+
+    measured(case_id, mode) has what was run: rank is 0 for a path that a mode did not find, and
+    null where the mode was not run but for some other case."""
+    modes = measured.select("mode").distinct()
+    asked = expected.select("case_id", "path").distinct().join(F.broadcast(modes), how="cross")  # a handful of modes
+    ran = measured.select("case_id", "mode").distinct().withColumn("ran", F.lit(True))
+    first = retrieval.groupBy("case_id", "mode", "path").agg(F.min("rank").alias("found"))
+    joined = asked.join(ran, ["case_id", "mode"], "left").join(first, ["case_id", "mode", "path"], "left")
+    return joined.select("case_id", "path", "mode", F.when(F.col("ran"), F.coalesce("found", F.lit(0))).cast("int").alias("rank"))

@@ -24,24 +24,39 @@ Extractor = Callable[[str, str], list[Fact]]
 
 
 def _fact(kind: str, title: str, text: str, start: int, end: int | None = None, **metadata) -> Fact:
-    return {"kind": kind, "title": title, "text": text, "start_line": start, "end_line": end or start, "metadata": metadata or None}
+    return {"kind": kind, "title": title, "text": cut_text(text), "start_line": start, "end_line": end or start, "metadata": metadata or None}
+
+
+FACTS = model.MAX_RECORDS - 1
+
+
+def cut_text(text: str, most: int = model.MAX_RECORD_TEXT - 1) -> str:
+    """The start of a text in at most ``most`` bytes, cut between characters."""
+    return text.encode()[:most].decode(errors="ignore")
+
+
+#: What a heading and the marks of a fence look like.
+HEADING = re.compile(r"#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*")
+FENCES = ("```", "~~~")
 
 
 def markdown(path: str, content: str) -> list[Fact]:
-    """Sections (a heading to before the next heading of any level) and fenced blocks."""
-    lines, out = content.split("\n"), []
-    heads = [i for i, line in enumerate(lines) if re.match(r"#{1,6}\s+\S", line)]
-    for k, i in enumerate(heads):
-        end = heads[k + 1] if k + 1 < len(heads) else len(lines)
-        out.append(_fact("markdown-section", lines[i].lstrip("#").strip(), "\n".join(lines[i:end]).strip(), i + 1, end))
-    at = 0
-    while at < len(lines):
-        if m := re.match(r"\s*(```|~~~)(.*)$", lines[at]):
-            end = next((j for j in range(at + 1, len(lines)) if lines[j].strip().startswith(m[1])), len(lines) - 1)
-            out.append(_fact("markdown-fence", m[2].strip() or "code", "\n".join(lines[at : end + 1]), at + 1, end + 1))
-            at = end
-        at += 1
-    return sorted(out, key=lambda f: (f["start_line"], f["kind"] != "markdown-section"))
+    """Sections (a heading to before the next heading of any level) and fenced blocks, in order.
+
+    A heading within a fence begins no section, but ends the one that the fence is in."""
+    lines, facts, fences, free = content.split("\n"), [], [], 0
+    heads = [i for i, line in enumerate(lines) if HEADING.fullmatch(line)]
+    for i, line in enumerate(lines):
+        mark = line.strip()[:3]
+        if i >= free and mark in FENCES:
+            free = next((j + 1 for j in range(i + 1, len(lines)) if lines[j].strip().startswith(mark)), len(lines))
+            fences.append(range(i, free))
+            facts.append(_fact("markdown-fence", line.strip()[3:].strip(), "\n".join(lines[i:free]).strip(), i + 1, free) | {"id": f"fence:{i + 1}"})
+    fenced = {i for f in fences for i in f}
+    for i, end in zip(heads, [*heads[1:], len(lines)]):
+        if i not in fenced:
+            facts.append(_fact("markdown-section", HEADING.fullmatch(lines[i])[1].strip(), "\n".join(lines[i:end]).strip(), i + 1, end) | {"id": f"heading:{i + 1}"})
+    return sorted(facts, key=lambda f: f["start_line"])[:FACTS]
 
 
 def python(path: str, content: str) -> list[Fact]:
@@ -72,7 +87,7 @@ def python(path: str, content: str) -> list[Fact]:
 
 
 def _navigation(language: str, path: str, facts: list[Fact], lines: int) -> list[Fact]:
-    facts = facts[: model.MAX_RECORDS - 1]
+    facts = facts[:FACTS]
     if not facts:
         return []
     return [*facts, _fact(f"{language}-navigation", path, "\n".join(f["title"] for f in facts), 1, max(1, lines), lexical=False, facts=len(facts))]
@@ -289,6 +304,7 @@ def extract(files: DataFrame, extractors: dict[str, tuple[list[str], Extractor]]
                         continue
                     try:
                         facts = f(path, content)
+                        facts = facts if name not in EXTRACTORS or len(facts) <= model.MAX_RECORDS else facts[:FACTS]
                         message = problem(facts, content.count("\n") + 1)
                     except Exception as e:  # an extractor's failure is a diagnostic of the file
                         facts, message = [], str(e)[:500] or type(e).__name__

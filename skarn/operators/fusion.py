@@ -88,6 +88,8 @@ def promote_graph(items: list, neighbour, limit: int, key=lambda x: x) -> list:
 
     What stood there goes to the end, or to the overflow's end if there are more."""
     target = min(limit, 10) - 1
+    if target < 1:
+        return items
     at = next((k for k, x in enumerate(items) if key(x) == key(neighbour)), None)
     if at is not None and at <= target or target >= len(items) + (at is None):
         return items

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import text as T
 
+#: Extensions that a target may lack, in the order in which they are tried.
 SUFFIXES = [".ts", ".tsx", ".js", ".jsx", ".go", ".py"]
 
 
@@ -30,7 +31,7 @@ def candidates(source: Column, target: Column) -> Column:
     base = clean(F.concat(F.regexp_replace(source, "[^/]*$", ""), F.regexp_replace(target, r"[?#].*$", "")))
     stem = F.regexp_replace(base, r"\.[^./]*$", "")
     own = F.regexp_extract(source, r"(\.[^./]*)$", 1)
-    ends = F.concat(F.array(own), F.array(*map(F.lit, SUFFIXES)))
+    ends = F.concat(F.filter(F.array(own), lambda e: e != ""), F.array(*map(F.lit, SUFFIXES)))
     return F.concat(F.array(base), F.flatten(F.transform(ends, lambda e: F.array(F.concat(stem, e), F.concat(base, F.lit("/index"), e)))))
 
 

@@ -56,10 +56,22 @@ def bm25(records: DataFrame, terms: list[str], need: str = NEED_ANY, weights: di
 
 
 def ranked(found: DataFrame, *order: Column) -> DataFrame:
-    """Explicit ranks in a total order."""
+    """Explicit ranks in a total order, for few rows: a window that one task sees whole."""
     return found.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked_widely(found: DataFrame, *order: Column) -> DataFrame:
+    """The same for any number of rows: a sort by ranges, kept by a checkpoint, and offsets of its partitions."""
+    from ..plans.search import _cut
+
+    laid = _cut(found.orderBy(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
+    sizes = laid.groupBy("_p").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))  # a row per partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumn("_before", before).drop("_n")
+    out = laid.join(F.broadcast(offsets), "_p").withColumn("rank", (F.col("_i") - F.col("_first") + F.col("_before") + 1).cast("int"))
+    return out.drop("_p", "_i", "_first", "_before")
+
+
 def top(found: DataFrame, limit: int, *order: Column) -> DataFrame:
     """The first rows of an order, ranked; only ``limit`` rows per task meet in one."""
     return ranked(found.orderBy(*order).limit(limit), *order)
@@ -127,9 +139,3 @@ def vector_top(vectors: DataFrame, query: DataFrame, limit: int) -> DataFrame:
 def vector_paths(vectors: DataFrame, query: DataFrame, limit: int) -> DataFrame:
     """The same up to the first record of the ``limit``-th path."""
     return distinct_path_top(similarities(vectors, query), limit, ("similarity", True), ("record_id", False))
-
-
-def postings(records: DataFrame, columns: tuple[str, ...] = ("path", "title", "text")) -> DataFrame:
-    """The inverted index (term, record_id, column, frequency, first): one shuffle on record and term."""
-    each = [records.select("record_id", F.lit(c).alias("column"), F.posexplode(T.tokens(F.coalesce(F.col(c), F.lit("")))).alias("position", "term")) for c in columns]
-    return reduce(DataFrame.unionByName, each).groupBy("term", "record_id", "column").agg(F.count("*").alias("frequency"), F.min("position").alias("first"))

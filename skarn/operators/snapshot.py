@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,40 +58,170 @@ def coverage(records: DataFrame, vectors: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("records"), F.count("_v").alias("embedded")).withColumn("complete", F.col("records") == F.col("embedded"))
 
 
+def changes(candidates: DataFrame, states: DataFrame, fingerprint: str, full: bool = False) -> DataFrame:
+    """(path, state) from candidates(path, size, mtime_ns) and states(path, size, mtime_ns, extraction_fingerprint).
+
+    A file is unchanged if size, time and fingerprint are as they were, and need not be read; else
+    it is new or to be checked.  Vanished files are deleted.  ``full`` checks every file."""
+    known = states.select("path", F.col("size").alias("_s"), F.col("mtime_ns").alias("_m"), F.col("extraction_fingerprint").alias("_f"))
+    same = (F.col("size") == F.col("_s")) & (F.col("mtime_ns") == F.col("_m")) & (F.col("_f") == fingerprint) & F.lit(not full)
+    state = F.when(F.col("_s").isNull(), "new").when(F.col("size").isNull(), "deleted").when(same, "unchanged").otherwise("check")
+    return candidates.select("path", "size", "mtime_ns").join(known, "path", "full_outer").select("path", state.alias("state"))
+
+
+def refresh(files: DataFrame, told: DataFrame) -> DataFrame:
+    """``files`` with size and mtime_ns of told(path, size, mtime_ns) where it has them: touched, not changed."""
+    new = told.select("path", F.col("size").alias("_s"), F.col("mtime_ns").alias("_m"))
+    joined = files.join(new, "path", "left").withColumns({"size": F.coalesce("_s", "size"), "mtime_ns": F.coalesce("_m", "mtime_ns")})
+    return joined.select(files.columns)
+
+
+def record_keys(records: DataFrame) -> DataFrame:
+    """``records`` with record_key and record_id: source, path and the extractor's id, or else place, kind and number.
+
+    The id follows from the key, so that a record keeps it from version to version."""
+    own = F.col("id") if "id" in records.columns else F.lit(None).cast("string")
+    place = F.concat_ws(":", "source", "path", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "kind", F.col("ordinal").cast("string"))
+    key = F.when(F.coalesce(own, F.lit("")) != "", F.concat_ws(":", "source", "path", own)).otherwise(place)
+    return records.withColumn("record_key", key).withColumn("record_id", F.shiftrightunsigned(F.xxhash64("record_key"), 1))
+
+
+def repeated_keys(records: DataFrame) -> DataFrame:
+    """Keys that occur more than once; there must be none."""
+    return records.groupBy("record_key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def cascade(records: DataFrame, derived: DataFrame, *on: str) -> DataFrame:
+    """Rows of a derived table (vectors, edges, postings) whose records are still there."""
+    return derived.join(records.select(*on).distinct(), list(on), "left_semi")
+
+
+def diagnostics(found: DataFrame, run: str, stage: str) -> DataFrame:
+    """(run_id, path, stage, message) of what extractors or providers could not do."""
+    return found.where(F.col("message").isNotNull()).select(F.lit(run).alias("run_id"), "path", F.lit(stage).alias("stage"), "message")
+
+
+class Conflict(RuntimeError):
+    """Another writer has made the version that this one was to follow."""
+
+
 class Store:
-    """Versioned tables in a folder: immutable version folders and a log of pointers, the last of which counts.
+    """Versioned tables in a folder: immutable folders of tables and a log of runs, a file for each.
 
-    Readers keep the version that they opened; a failed write leaves the pointer where it was."""
+    The last completed run names the tables that readers see; they keep the version that they
+    opened.  A log file is made once: of two writers that follow one version the second gets
+    Conflict.  A failed run leaves the tables as they were."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _log(self):
+    def _path(self, name: str):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _entries(self) -> list[dict]:
+        folder, fs = self._path("log")
+        if not fs.exists(folder):
+            return []
+        rows = self.spark.read.schema("value string").text(f"{self.root}/log", wholetext=True).collect()  # a row per run
+        return sorted((json.loads(r["value"]) for r in rows if r["value"]), key=lambda e: e["number"])
+
+    def _publish(self, entry: dict) -> None:
+        path, fs = self._path(f"log/{entry['number']:012d}.json")
         try:
-            return self.spark.read.text(f"{self.root}/log")
+            out = fs.create(path, False)
         except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return None
+            if "AlreadyExists" in str(error):
+                raise Conflict(f"run {entry['number']} is another writer's") from error
             raise
+        out.write(bytearray(json.dumps(entry, ensure_ascii=False).encode()))
+        out.close()
 
     def version(self) -> dict | None:
-        log = self._log()
-        last = log.agg(F.max("value").alias("v")).first()["v"] if log is not None else None
-        return json.loads(last[last.index("{") :]) if last else None
+        done = [e for e in self._entries() if e["status"] == "completed"]
+        return done[-1] if done else None
 
     def read(self, name: str) -> DataFrame | None:
         now = self.version()
-        return self.spark.read.parquet(f"{self.root}/{now['id']}/{name}") if now and name in now["tables"] else None
+        return self.spark.read.parquet(now["tables"][name]) if now and name in now["tables"] else None
 
     def write(self, tables: dict[str, DataFrame], **summary) -> str:
-        """Writes all tables, then the pointer: a run is seen whole or not at all."""
-        stamp = f"{time.time_ns():020d}"
-        for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{stamp}/{name}")
-        entry = stamp + json.dumps({"id": stamp, "tables": sorted(tables), "status": "completed"} | summary)
-        self.spark.createDataFrame([(entry,)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/log")
+        """Writes the tables, then the log file: a run is seen whole or not at all.  Tables not named stay as they are."""
+        entries = self._entries()
+        began, number = time.time_ns() // 10**6, entries[-1]["number"] + 1 if entries else 1
+        kept = next((e["tables"] for e in reversed(entries) if e["status"] == "completed"), {})
+        stamp = f"{time.time_ns():020d}-{os.urandom(4).hex()}"
+        entry = {"number": number, "id": stamp, "started_at_ms": began, "tables": kept}
+        try:
+            for name, df in tables.items():
+                df.write.parquet(f"{self.root}/{stamp}/{name}")
+        except Exception as error:
+            self._publish(entry | {"status": "failed", "finished_at_ms": time.time_ns() // 10**6, "error": str(error)[:500]} | summary)
+            raise
+        new = {name: f"{self.root}/{stamp}/{name}" for name in tables}
+        self._publish(entry | {"status": "completed", "finished_at_ms": time.time_ns() // 10**6, "tables": kept | new} | summary)
         return stamp
 
     def runs(self) -> list[dict]:
-        log = self._log()
-        return [] if log is None else [json.loads(r["value"][r["value"].index("{") :]) for r in log.orderBy("value").collect()]
+        """All runs, the latest last."""
+        return self._entries()
+
+    def clone(self, root: str, **identity) -> "Store":
+        """A store of its own that begins with this one's tables; runs and diagnostics are not taken along."""
+        now, other = self.version(), Store(self.spark, root)
+        if now is None:
+            raise ValueError("there is no version to clone")
+        tables = {name: path for name, path in now["tables"].items() if name != "diagnostics"}
+        moment = time.time_ns() // 10**6
+        other._publish({"number": 1, "id": now["id"], "started_at_ms": moment, "finished_at_ms": moment, "status": "completed", "tables": tables, "seeded_from": self.root} | identity)
+        return other
+
+
+def apply_batch(store: Store, files: DataFrame, records: DataFrame, gone: DataFrame | None = None, touched: DataFrame | None = None, found: DataFrame | None = None, **summary) -> str:
+    """The next version of a store: files(path, ...) replace those of their paths with all their records, paths of
+    ``gone`` go, ``touched`` gets new sizes and times; vectors and edges of records that went go too.
+
+    ``records`` has no keys yet; a key that occurs twice raises ValueError and nothing is written."""
+    keyed = record_keys(records)
+    keyed = keyed.withColumn("input_hash", T.input_hash(F.col("title"), F.col("text")))
+    twice = repeated_keys(keyed).limit(3).collect()
+    if twice:
+        raise ValueError(f"record keys occur twice: {[r['record_key'] for r in twice]}")
+    old = {name: store.read(name) for name in ("files", "records", "vectors", "edges", "diagnostics")}
+    paths = files.select("path") if gone is None else files.select("path").unionByName(gone.select("path"))
+    out = {"files": files, "records": keyed}
+    if old["files"] is not None:
+        kept = old["files"] if touched is None else refresh(old["files"], touched)
+        out["files"] = upsert(kept, files, gone)
+        out["records"] = old["records"].join(paths.distinct(), "path", "left_anti").unionByName(keyed, allowMissingColumns=True)
+    for name, on in (("vectors", ("record_id", "input_hash")), ("edges", ("record_id",))):
+        if old[name] is not None:
+            out[name] = cascade(out["records"], old[name], *on)
+    if found is not None:
+        out["diagnostics"] = found if old["diagnostics"] is None else old["diagnostics"].unionByName(found)
+    return store.write(out, **summary)
+
+
+class Progress:
+    """Calls ``emit`` with events, those of one phase at least ``every`` seconds apart; the last of a phase always."""
+
+    def __init__(self, emit, every: float = 0.5, clock=time.monotonic):
+        self.emit, self.every, self.clock, self.last = emit, every, clock, {}
+
+    def __call__(self, phase: str, done: int, total: int, terminal: bool = False) -> None:
+        now = self.clock()
+        if terminal or now - self.last.get(phase, -1e18) >= self.every:
+            self.last[phase] = now
+            self.emit({"schema": "skarn.progress/v1", "phase": phase, "done": done, "total": total, "terminal": terminal})
+
+
+def seed_order(indexes: list[dict], head: str) -> list[dict]:
+    """Sibling indexes (head, live, updated_at_ms) from the best to begin with: of the same commit first, then of a tree
+    that is still there, then the newest."""
+    return sorted(indexes, key=lambda i: (i["head"] != head, not i["live"], -i["updated_at_ms"]))
+
+
+def prunable(indexes: list[dict]) -> list[dict]:
+    """Indexes that nobody needs: their tree is gone, not registered, and nobody holds the lock."""
+    return [i for i in indexes if not (i["live"] or i["registered"] or i["locked"])]

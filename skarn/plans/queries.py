@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import text as T
-from ..operators import chunking, citation, embedding, evaluate, fusion, graph, lanes, snapshot
+from ..operators import chunking, citation, evaluate, fusion, graph, lanes, snapshot
 from ..sources.tables import document_files, document_records, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,7 +85,7 @@ def extractor_subset_bm25(spark, sf):
 
 @query(f"""WITH {RECORDS} SELECT record_id, path, CAST(row_number() OVER (ORDER BY path, start_line, record_id) AS INTEGER) AS rank FROM records WHERE contains(text, 'token = "')""")
 def fixed_contains(spark, sf):
-    return lanes.ranked(lanes.fixed(_records(spark, sf), 'token = "'), *lanes.by(lanes.PATH_KEYS)).select("record_id", "path", "rank")
+    return lanes.ranked_widely(lanes.fixed(_records(spark, sf), 'token = "'), *lanes.by(lanes.PATH_KEYS)).select("record_id", "path", "rank")
 
 
 @query(f"""WITH {RECORDS}, found AS (SELECT * FROM records WHERE contains(text, 'Apache License') AND list_has_any({TOKENS.format('text')}, ['apache', 'license'])) SELECT record_id, path FROM found""")
@@ -104,7 +104,7 @@ REGEX = r"licen[cs]ed? under.*(Apache|CC BY)"
 @query(f"""WITH {RECORDS} SELECT record_id, path, CAST(row_number() OVER (ORDER BY path, start_line, record_id) AS INTEGER) AS rank FROM records WHERE regexp_matches(lower(text), '{REGEX.lower()}')""")
 def regexp_scan(spark, sf):
     low = _records(spark, sf).withColumn("text", F.lower("text"))
-    return lanes.ranked(lanes.regexp(low, REGEX.lower()), *lanes.by(lanes.PATH_KEYS)).select("record_id", "path", "rank")
+    return lanes.ranked_widely(lanes.regexp(low, REGEX.lower()), *lanes.by(lanes.PATH_KEYS)).select("record_id", "path", "rank")
 
 
 @query(f"""
@@ -416,9 +416,10 @@ def markdown_sections(spark, sf):
 EVIDENCE = [["license", "licensed"], ["version"], ["token"]]
 
 
-@query(f"""
+@query(rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-g AS (SELECT doc_id, i, {", ".join("(" + " OR ".join(f"contains(lower(line), '{t}')" for t in group) + f")::INT AS g{k}" for k, group in enumerate(EVIDENCE))} FROM l),
+b AS (SELECT doc_id, i, regexp_extract_all(lower(line || ' ' || regexp_replace(regexp_replace(line, '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '([\p{{L}}\p{{N}}])(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')), '[\p{{L}}\p{{N}}]+') AS w FROM l),
+g AS (SELECT doc_id, i, {", ".join(f"list_has_any(w, {group!r})::INT AS g{k}" for k, group in enumerate(EVIDENCE))} FROM b),
 s AS (SELECT doc_id, i, {" + ".join(f"max(g{k}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)" for k in range(3))} AS n FROM g),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS r FROM s)
 SELECT doc_id, CAST(n AS INTEGER) AS evidence_terms, CAST(CASE WHEN n > 0 THEN i ELSE -1 END AS INTEGER) AS evidence_line FROM o WHERE r = 1""")
@@ -473,13 +474,6 @@ def counts_summary(spark, sf):
     return out
 
 
-@query()
-def test_embedding(spark, sf):
-    """Deterministic vectors of the benchmark's texts."""
-    inputs = table(spark, sf, "benchmark").select(T.content_hash(F.col("text")).alias("input_hash"), F.col("text").alias("input"))
-    return embedding.embed(inputs, lambda texts: [embedding.hash_vector(t, 32) for t in texts], 32)
-
-
 @query()
 def hybrid_search(spark, sf):
     """A planned query end to end: lexical lanes with phrase and path lanes, fused, cited."""

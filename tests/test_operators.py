@@ -26,7 +26,7 @@ def test_bm25_equals_fts5(spark, terms, need, match):
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 2e-9 for k in got)
 
 
-def test_exact_match_comes_first(spark):
+def test_phrase_comes_first(spark):
     found = search_records(records(spark), "alpha beta").orderBy("position").collect()
     assert found[0]["path"] == "src/f2.go" and {"exact", "all-terms", "lexical"} <= set(found[0]["retrieval"].split(","))
 
@@ -50,27 +50,18 @@ def test_pieces_of_long_lines_are_chunks(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == expected and {r[0][-5] for r in got} == {"1", "2", "5"}
 
 
-def test_distinct_path_limit(spark):
-    r = records(spark, ["needle"] * 102, ["a-noise"] * 101 + ["z-owner"]).withColumn("score", F.lit(1.0))
-    got = lanes.distinct_path_top(r, 2, *lanes.SCORE_KEYS).collect()
-    assert {x["path"] for x in got} == {"a-noise", "z-owner"} and len(got) == 102
-    assert lanes.distinct_path_top(r, 1, *lanes.SCORE_KEYS).count() == 1
+def test_prefix_reaches_the_wanted_number_of_paths(spark):
+    r = records(spark, ["pear"] * 63, ["one/crowd"] * 60 + ["two", "two", "three"]).withColumn("score", F.lit(1.0))
+    got = lanes.distinct_path_top(r, 2, *lanes.SCORE_KEYS).orderBy("rank").collect()
+    assert [x["path"] for x in got] == ["one/crowd"] * 60 + ["three"] and [x["rank"] for x in got] == list(range(1, 62))
+    assert lanes.distinct_path_top(r, 1, *lanes.SCORE_KEYS).count() == 1 and lanes.distinct_path_top(r, 9, *lanes.SCORE_KEYS).count() == 63
 
 
-def test_semantic_lane_reaches_distinct_paths(spark):
-    paths = ["a/noise.go"] * 130 + ["b/owner.go", "c/other.go"]
-    r = records(spark, ["text"] * 132, paths)
-    vectors = r.select("record_id", "path", "start_line", "kind", F.array(F.lit(1.0), F.when(F.col("path") == "a/noise.go", 0.0).otherwise(F.col("record_id") / 100)).alias("embedding"))
-    got = search_records(r, "some words", mode="semantic", vectors=vectors, query_vector=[1.0, 0.0]).orderBy("position").collect()
-    assert [x["path"] for x in got] == ["a/noise.go", "b/owner.go", "c/other.go"]
-
-
-def test_citation_is_the_best_record_of_its_path(spark):
-    texts = ["alpha alpha alpha alpha", "alpha\nthen some beta\nand gamma" + " filler" * 60, "alpha"]
-    vectors = records(spark, texts, ["src/a.go", "src/a.go", "src/b.go"]).select("record_id", "path", "start_line", "kind", F.array(F.lit(1.0), F.col("record_id").cast("double")).alias("embedding"))
-    r = records(spark, texts, ["src/a.go", "src/a.go", "src/b.go"])
-    got = {x["path"]: x["record_id"] for x in search_records(r, "alpha beta gamma", mode="semantic", vectors=vectors, query_vector=[1.0, 0.0]).collect()}
-    assert got == {"src/a.go": 2, "src/b.go": 3}
+def test_ranks_over_many_tasks(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), F.lit("p").alias("path")).repartition(7)
+    got = [(r["k"], r["rank"]) for r in lanes.ranked_widely(rows, F.desc("k")).orderBy("rank").collect()]
+    assert got == [(k, n) for n, k in enumerate(sorted((i * 7919 % 5003 for i in range(5000)), reverse=True), 1)]
+    assert lanes.ranked_widely(rows.where("false"), F.desc("k")).count() == 0
 
 
 def lane(spark, rows):
@@ -78,31 +69,36 @@ def lane(spark, rows):
 
 
 def test_fusion_and_head(spark):
-    rows = [(0, "lexical", 1, 1, "src/lexical-only.go", 1, "x"), (0, "lexical", 2, 2, "src/owner.go", 1, "x"), (1, "semantic", 1, 3, "src/semantic-only.go", 1, "x"), (1, "semantic", 2, 4, "src/owner.go", 9, "x")]
+    rows = [(0, "lexical", 1, 1, "orchard/alone", 1, "x"), (0, "lexical", 2, 2, "orchard/both", 1, "x"), (0, "lexical", 3, 7, "orchard/third", 1, "x"), (1, "semantic", 1, 3, "orchard/sense", 1, "x"), (1, "semantic", 2, 4, "orchard/both", 9, "x")]
     got = fusion.fuse(lane(spark, rows)).orderBy("position").collect()
-    assert [r["path"] for r in got] == ["src/lexical-only.go", "src/owner.go", "src/semantic-only.go"]
-    assert got[1]["path_score"] == pytest.approx(2 / 12) and got[0]["path_score"] == pytest.approx(1 / 11)
+    assert [r["path"] for r in got] == ["orchard/alone", "orchard/both", "orchard/sense", "orchard/third"]
+    assert [r["path_score"] for r in got] == pytest.approx([1 / 11, 2 / 12, 1 / 11, 1 / 13])
 
 
 def test_families_are_balanced(spark):
-    rows = [(n, name, k + 1, 100 * n + k, f"noise/{k:02d}.go", 1, "x") for n, name in enumerate(["exact", "all-terms", "lexical", "path"]) for k in range(20)] + [(9, "semantic", 1, 999, "src/owner.go", 1, "x")]
+    rows = [(n, name, k + 1, 100 * n + k, f"crowd/{k:02d}", 1, "x") for n, name in enumerate(["exact", "all-terms", "lexical", "anchor"]) for k in range(15)] + [(9, "semantic", 1, 999, "sense/one", 1, "x")]
     got = fusion.fuse(lane(spark, rows)).orderBy("position").collect()
-    assert got[1]["path"] == "src/owner.go"
+    assert got[0]["path"] == "crowd/00" and got[1]["path"] == "sense/one"
 
 
 def test_positions():
-    assert fusion.promote_third_root(["docs/a", "docs/b", "docs/c", "src/d", "tests/e"]) == ["docs/a", "docs/b", "src/d", "docs/c", "tests/e"]
-    out = fusion.promote_graph([f"p{k}" for k in range(40)], "near", 10)
-    assert out[9] == "near" and "p9" in out and len(out) == 41
+    assert fusion.promote_third_root(["a/1", "a/2", "a/3", "a/4", "b/1", "c/1"]) == ["a/1", "a/2", "b/1", "a/3", "a/4", "c/1"]
+    assert fusion.promote_third_root(["a/1", "b/2", "b/3", "c/4"]) == ["a/1", "b/2", "b/3", "c/4"]
+    many = [f"x{k}" for k in range(35)]
+    out = fusion.promote_graph(many, "new", 10)
+    assert out[9] == "new" and out[29] == "x9" and out[35] == "x29" and sorted(out) == sorted([*many, "new"])
+    assert fusion.promote_graph(many, "x3", 10) == many and fusion.promote_graph(many, "x30", 4)[3] == "x30" and fusion.promote_graph(many, "new", 1) == many
 
 
 def test_graph(spark):
-    files = spark.createDataFrame([("src/owner.ts",), ("src/consumer.ts",)], "path string")
-    facts = spark.createDataFrame([(1, "src/consumer.ts", "typescript-import", "./owner", "plugin:typescript", "{}"), (2, "src/consumer.ts", "typescript-import", "react", "plugin:typescript", "{}"), (3, "src/owner.ts", "typescript-function", "f", "plugin:typescript", "{}")], "record_id long, path string, kind string, title string, source string, metadata string")
+    files = spark.createDataFrame([(p,) for p in ("lib/gate.ts", "lib/yard.ts", "lib/wall/index.py", "bin/a", "bin/a.ts")], "path string")
+    rows = [(1, "lib/yard.ts", "typescript-import", "./gate"), (2, "lib/yard.ts", "typescript-import", "leftpad"), (3, "lib/gate.ts", "typescript-function", "open"), (4, "lib/gate.ts", "typescript-export", "../lib/./wall?x=1"), (5, "bin/run", "typescript-import", "./a.b")]
+    facts = spark.createDataFrame([(*r, "plugin:typescript", "{}") for r in rows] + [(6, "lib/yard.ts", "typescript-import", "./gate", "plugin:typescript", '{"structural": true}')], "record_id long, path string, kind string, title string, source string, metadata string")
     edges = graph.resolve(graph.edges(facts), files)
-    assert {(r["target"], r["target_path"]) for r in edges.collect()} == {("./owner", "src/owner.ts"), ("react", None)}
-    near = lambda seed, scope="": [(r["path"], r["record_id"]) for r in graph.one_hop(edges, spark.createDataFrame([(seed, 1)], "path string, rank int"), scope).collect()]
-    assert near("src/owner.ts") == [("src/consumer.ts", 1)] and near("src/consumer.ts") == [("src/owner.ts", None)] and near("src/owner.ts", "src/other") == []
+    assert {(r["record_id"], r["target_path"]) for r in edges.collect()} == {(1, "lib/gate.ts"), (2, None), (4, "lib/wall/index.py"), (5, "bin/a.ts")}
+    near = lambda seed, scope="": sorted((r["path"], r["record_id"]) for r in graph.one_hop(edges, spark.createDataFrame([(seed, 1)], "path string, rank int"), scope).collect())
+    assert near("lib/gate.ts") == [("lib/wall/index.py", None), ("lib/yard.ts", 1)] and near("lib/yard.ts") == [("lib/gate.ts", None)]
+    assert near("lib/gate.ts", "lib/wall") == [("lib/wall/index.py", None)] and near("lib/gate.ts", "lib/wal") == []
 
 
 def test_vectors(spark):
@@ -120,21 +116,72 @@ def test_chunker():
 
 
 def test_snapshots_and_queue(spark, tmp_path):
-    old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, content_hash string")
-    new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, content_hash string")
-    assert {r["path"]: r["state"] for r in snapshot.diff(old, new).collect()} == {"a": "unchanged", "b": "modified", "c": "deleted", "d": "new"}
+    schema = "path string, content_hash string"
+    old = spark.createDataFrame([("p", "1"), ("q", "1"), ("r", "1")], schema)
+    new = spark.createDataFrame([("p", "1"), ("q", "2"), ("s", "1")], schema)
+    assert {r["path"]: r["state"] for r in snapshot.diff(old, new).collect()} == {"p": "unchanged", "q": "modified", "r": "deleted", "s": "new"}
     store = snapshot.Store(spark, str(tmp_path))
-    assert store.read("files") is None
-    store.write({"files": old})
+    assert store.read("files") is None and store.runs() == []
+    store.write({"files": old, "other": old})
     before = store.read("files")
-    store.write({"files": snapshot.upsert(store.read("files"), new)})
-    assert before.count() == 3 and store.read("files").count() == 4 and len(store.runs()) == 2
-    r = spark.createDataFrame([(1, "a much longer input", "h1"), (2, "tiny", "h2"), (3, "tiny", "h2"), (4, "medium text", "h3")], "record_id long, input string, input_hash string")
+    store.write({"files": snapshot.upsert(store.read("files"), new)}, note="second")
+    assert before.count() == 3 and store.read("files").count() == 4 and store.read("other").count() == 3
+    assert [(e["number"], e["status"], e.get("note")) for e in store.runs()] == [(1, "completed", None), (2, "completed", "second")]
+    with pytest.raises(Exception):
+        store.write({"files": spark.range(3).select(F.raise_error(F.lit("broken")).alias("x"))})
+    assert store.read("files").count() == 4 and store.runs()[-1]["status"] == "failed"
+    r = spark.createDataFrame([(1, "rather a long text to embed", "h1"), (2, "no", "h2"), (3, "no", "h2"), (4, "middling", "h3")], "record_id long, input string, input_hash string")
     queue = snapshot.missing_inputs(r, r.where("false").select("record_id", "input_hash")).collect()
-    assert [(x["input"], x["record_id"]) for x in queue] == [("tiny", 2), ("medium text", 4), ("a much longer input", 1)]
+    assert [(x["input"], x["record_id"]) for x in queue] == [("no", 2), ("middling", 4), ("rather a long text to embed", 1)]
     assert snapshot.fan_out(r, spark.createDataFrame([("h2", [1.0])], "input_hash string, vector array<double>")).count() == 2
 
 
+def test_of_two_writers_one_gets_a_conflict(spark, tmp_path):
+    store, rows = snapshot.Store(spark, str(tmp_path)), spark.range(3)
+    store.write({"t": rows})
+    late = snapshot.Store(spark, str(tmp_path))
+    seen = late._entries()
+    late._entries = lambda: seen
+    store.write({"t": spark.range(5)})
+    with pytest.raises(snapshot.Conflict):
+        late.write({"t": spark.range(9)})
+    assert store.read("t").count() == 5
+
+
+def test_batches_replace_files_with_what_hangs_on_them(spark, tmp_path):
+    store = snapshot.Store(spark, str(tmp_path / "a"))
+    files = lambda *rows: spark.createDataFrame(rows, "path string, size long, mtime_ns long")
+    facts = lambda *rows: spark.createDataFrame([(p, n, n, "fact", t, t, "plugin:x", 0, i) for p, n, t, i in rows], "path string, start_line int, end_line int, kind string, title string, text string, source string, ordinal int, id string")
+    snapshot.apply_batch(store, files(("a", 1, 1), ("b", 1, 1), ("c", 1, 1)), facts(("a", 1, "one", None), ("b", 1, "two", "x"), ("c", 1, "three", None)))
+    keys = {r["path"]: r["record_key"] for r in store.read("records").collect()}
+    assert keys == {"a": "plugin:x:a:1:1:fact:0", "b": "plugin:x:b:x", "c": "plugin:x:c:1:1:fact:0"}
+    records_ = store.read("records")
+    store.write({"vectors": records_.select("record_id", "input_hash", F.lit("live").alias("fingerprint")), "edges": records_.select("record_id", F.col("path").alias("source_path"))})
+    problem = spark.createDataFrame([("c", "broken")], "path string, message string")
+    snapshot.apply_batch(store, files(("b", 2, 2)), facts(("b", 1, "two, changed", "x")), gone=files(("c", 0, 0)), touched=files(("a", 1, 9)), found=snapshot.diagnostics(problem, "r2", "extract"))
+    assert {(r["path"], r["size"], r["mtime_ns"]) for r in store.read("files").collect()} == {("a", 1, 9), ("b", 2, 2)}
+    assert {(r["path"], r["text"]) for r in store.read("records").collect()} == {("a", "one"), ("b", "two, changed")}
+    assert store.read("vectors").count() == 1 and store.read("edges").count() == 2 and store.read("diagnostics").count() == 1
+    with pytest.raises(ValueError):
+        snapshot.apply_batch(store, files(("d", 1, 1)), facts(("d", 1, "x", "same"), ("d", 2, "y", "same")))
+    other = store.clone(str(tmp_path / "b"), root_id="other")
+    other.write({"files": files(("z", 1, 1))})
+    assert other.read("records").count() == 2 and other.read("diagnostics") is None and store.read("files").count() == 2 and other.runs()[0]["seeded_from"] == store.root
+
+
+def test_progress_and_seeds():
+    now, seen = [0.0], []
+    progress = snapshot.Progress(seen.append, clock=lambda: now[0])
+    for step, done in enumerate((0, 1, 2, 3)):
+        now[0] = step * 0.2
+        progress("read", done, 4)
+    progress("read", 4, 4, terminal=True)
+    assert [(e["done"], e["terminal"]) for e in seen] == [(0, False), (3, False), (4, True)]
+    some = [{"head": h, "live": v, "updated_at_ms": t, "registered": r, "locked": k} for h, v, t, r, k in (("a", True, 1, False, False), ("b", False, 9, False, True), ("b", True, 2, True, False), ("a", False, 5, False, False), ("b", True, 4, False, False))]
+    assert [(i["head"], i["live"], i["updated_at_ms"]) for i in snapshot.seed_order(some, "b")] == [("b", True, 4), ("b", True, 2), ("b", False, 9), ("a", True, 1), ("a", False, 5)]
+    assert snapshot.prunable(some) == [some[3]]
+
+
 def test_metrics(spark):
     results = spark.createDataFrame([("c", f"p{k}", k) for k in range(1, 26)], "case_id string, path string, rank int")
     truth = spark.createDataFrame([("c", "p2"), ("c", "p15"), ("d", "x")], "case_id string, path string")
@@ -170,8 +217,9 @@ def test_stream_indexes_new_files_once(spark, tmp_path):
     source, store = str(tmp_path / "in"), snapshot.Store(spark, str(tmp_path / "store"))
     write = lambda rows: spark.createDataFrame(rows, "path string, content string").write.mode("append").parquet(source)
     run = lambda: index_new_files(spark, spark.readStream.schema("path string, content string").parquet(source), store, str(tmp_path / "cp"))
-    write([("a.md", "one"), ("b.md", "two")])
+    write([("a.md", "one"), ("b.md", "two"), ("b.md", "older two")])
     run()
+    assert store.read("files").count() == 2
     write([("b.md", "two changed")])
     run()
     run()
