@@ -7,8 +7,8 @@ hold a set number of sample points; the candidates of those leaves are reranked
 inner product in double precision.  The scores of the sample points in those leaves, which are
 candidates themselves, bound what is worth sending on.  Largest inner product becomes nearest direction by one more coordinate that gives all
 indexed vectors one length.  Equal vectors are indexed once, with the least ids that a
-result can need; results expand to them.  Leaves are never cut off: one that holds more rows
-than a batch is scored batch by batch.
+result can need; results expand to them.  Leaves are never cut off: one with many rows is dealt
+out in chunks, and its queries in blocks, so that a task holds a chunk and a block at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from .common import bounded_sample, checkpoint
 
 LEAF = 48
 LEAVES = 96
+CHUNK_ROWS, BLOCK_QUERIES = 50_000, 20_000
 
 
 class Tree:
@@ -120,6 +121,21 @@ def _place(forest: Forest):
     return run
 
 
+def _count(forest: Forest):
+    """Rows of each leaf."""
+
+    def run(batches):
+        total = [np.zeros(len(t.size), np.int64) for t in forest.trees]
+        for batch in batches:
+            lifted = forest.lift(_matrix(batch.column("v")))
+            for t, tree in enumerate(forest.trees):
+                total[t] += np.bincount(tree.leaves(lifted), minlength=len(tree.size))
+        rows = [(t, n, int(c)) for t, counts in enumerate(total) for n, c in enumerate(counts) if c]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64()))], names=["tree", "leaf", "n"])
+
+    return run
+
+
 def _ask(forest: Forest, enough: int, k: int):
     def run(batches):
         for batch in batches:
@@ -155,11 +171,14 @@ def _score(k: int):
             for a in range(0, len(q), 256):
                 z = q[a : a + 256] @ x.T
                 for r in range(len(z)):
-                    near = np.flatnonzero(z[r] >= bound[a + r])
-                    near = near[np.lexsort((first[near], -z[r][near]))][: k + 1]
-                    query += [names[a + r]] * len(near)
-                    ids += [members[n] for n in near]
-                    score += z[r][near].tolist()
+                    least = max(bound[a + r], np.partition(z[r], -(k + 1))[-(k + 1)] if len(x) > k else -np.inf)
+                    near = np.flatnonzero(z[r] >= least - 1e-9 * max(1.0, abs(least)) if np.isfinite(least) else np.ones(len(x), bool))
+                    # The scores that count are sums of their own: those of the product depend on what else was in it.
+                    exact = (x[near] * q[a + r]).sum(1)
+                    best = np.lexsort((first[near], -exact))[: k + 1]
+                    query += [names[a + r]] * len(best)
+                    ids += [members[n] for n in near[best]]
+                    score += exact[best].tolist()
         return pa.table({"query_id": pa.array(query, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64())), "score": pa.array(score, pa.float64())})
 
     return run
@@ -195,7 +214,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 4, sa
     kind = vectors.schema["embedding"].dataType.simpleString()
     index = classes.mapInArrow(_place(forest), f"tree int, leaf int, ids array<long>, v {kind}")
     asked = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")).mapInArrow(_ask(forest, enough, k), f"tree int, leaf int, query_id long, v {kind}, bound double")
-    found = index.groupBy("tree", "leaf").cogroup(asked.groupBy("tree", "leaf")).applyInArrow(_score(k), "query_id long, ids array<long>, score double")
+    leaves = classes.select("v").mapInArrow(_count(forest), "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect()  # a row per leaf
+    queries = v.where(F.col("vec_id") % every == 0).count()
+    chunks = spark.createDataFrame([(r["tree"], r["leaf"], -(-r["n"] // CHUNK_ROWS)) for r in leaves], "tree int, leaf int, chunks int")
+    blocks = F.lit(max(1, -(-queries // BLOCK_QUERIES)))
+    index = index.join(F.broadcast(chunks), ["tree", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("ids"), "chunks").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    asked = asked.join(F.broadcast(chunks), ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    place = ["tree", "leaf", "chunk", "block"]
+    found = index.drop("chunks").groupBy(*place).cogroup(asked.drop("chunks").groupBy(*place)).applyInArrow(_score(k), "query_id long, ids array<long>, score double")
     pairs = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -4,10 +4,11 @@ A block is a line or, with ``wrapped``, a line and as many of the next lines as
 the template's number of words after it, so that a template that starts in a line is in its block
 however it is wrapped.  A template is found in a block when the block holds at least ``threshold``
 of the template's distinct words (containment).  Template words are ordered by how many blocks
-of the whole corpus hold them, rarest first.  A template's *prefix*, one word more than may be
-missing, must share a word with the block; the block must be *long* enough; and from the
-*position* of the first shared word on, enough of the template must be left.  What passes is
-verified word by word, so the join is exact.
+of the whole corpus hold them, rarest first; so are a block's words, as far as any template has
+them.  A template's *prefix*, one word more than may be missing, must share a word with the
+block; the block must be *long* enough; and from the *position* of the first shared word on,
+enough words must be left in the template and in the block.  What passes is verified word by
+word, so the join is exact.
 
 Templates are a bounded parameter and travel with the tasks; blocks never do.
 Phrases are also looked for at each place where their words stand consecutively.
@@ -16,6 +17,7 @@ Phrases are also looked for at each place where their words stand consecutively.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,14 @@ TEMPLATES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "bsd-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "warranty-disclaimer": "The software is provided as is, without warranty of any kind, express or implied",
+    "mit-conditions": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-liability": "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "apache-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "gpl-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
 MAX_TEMPLATE_WORDS = 100_000
 
@@ -85,12 +95,29 @@ def _windows(w: Words, line: np.ndarray, hit: np.ndarray, reach: int) -> np.ndar
     return np.stack([a[found], b[found]], 1)
 
 
-def _scan(phrases: list[tuple[np.ndarray, str]], templates: list[tuple[str, np.ndarray]], threshold: float, keep_blocks: bool, reach: dict[str, int] | None = None):
-    """templates: (label, word hashes, rarest first); reach: words of each template, for wrapped ones."""
+def overlap(block: set, held: list[int], place: dict[int, int], rank: dict[int, int], need: int, prefix: int) -> int:
+    """How many of a template's words a block holds; 0 where a filter tells that these are less than ``need``.
+
+    ``held`` are the places, in order, of the block's words in the order of all template words,
+    ``place`` has those of all, ``rank`` the template's words in the same order."""
+    if len(block) < need:  # length
+        return 0
+    mine = [y for y in block if y in rank]
+    first = min(mine, key=rank.__getitem__, default=None)
+    if first is None or rank[first] >= prefix:  # prefix
+        return 0
+    if min(len(rank) - rank[first], len(held) - bisect_left(held, place[first])) < need:  # position
+        return 0
+    return len(mine) if len(mine) >= need else 0
+
+
+def _scan(phrases: list[tuple[np.ndarray, str]], templates: list[tuple[str, np.ndarray]], threshold: float, keep_blocks: bool, often: dict[int, int], reach: dict[str, int] | None = None):
+    """templates: (label, word hashes, rarest first); often: blocks that hold a word; reach: words of each template, for wrapped ones."""
     plan = []
     for label, words in templates:
         need = math.ceil(threshold * len(words) - 1e-9)
         plan.append((label, words, {int(h): k for k, h in enumerate(words)}, need, len(words) - need + 1))
+    place = {h: k for k, h in enumerate(sorted({int(h) for _, words in templates for h in words}, key=lambda h: (often.get(h, 0), h)))}
     prefix_words = np.unique(np.concatenate([words[:n] for _, words, _, _, n in plan])) if plan else np.zeros(0, np.uint64)
 
     def run(batches):
@@ -118,21 +145,17 @@ def _scan(phrases: list[tuple[np.ndarray, str]], templates: list[tuple[str, np.n
                         for label, words, rank, need, prefix in plan:
                             for a, b in _windows(w, line, hit[np.isin(h[hit], words[:prefix])], reach[label]):
                                 block = set(h[a:b].tolist())
-                                both = sum(y in block for y in rank) if len(block) >= need else 0
-                                if both >= need:
+                                both = overlap(block, sorted(place[y] for y in block if y in place), place, rank, need, prefix)
+                                if both:
                                     d = int(np.searchsorted(w.first, a, side="right")) - 1
                                     more[d].append((label, both / len(words), int(a - w.first[d]), int(b - w.first[d])))
                     for x in np.unique(line[hit]) if reach is None else ():
                         a, b = np.searchsorted(line, x), np.searchsorted(line, x, side="right")
                         block = set(h[a:b].tolist())
+                        held = sorted(place[y] for y in block if y in place)
                         for label, words, rank, need, prefix in plan:
-                            if len(block) < need:  # length
-                                continue
-                            shared = min((rank[y] for y in block if y in rank), default=len(words))
-                            if shared >= prefix or len(words) - shared < need:  # prefix, position
-                                continue
-                            both = sum(y in block for y in rank)
-                            if both >= need:
+                            both = overlap(block, held, place, rank, need, prefix)
+                            if both:
                                 d = int(np.searchsorted(w.first, a, side="right")) - 1
                                 more[d].append((label, both / len(words), int(a - w.first[d]), int(b - w.first[d])))
                 for d in range(n):
@@ -174,4 +197,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phras
     ordered = [(label, np.array(sorted(_hashes(t).tolist(), key=lambda x: (often.get(x, 0), x)), np.uint64)) for label, t in texts.items() if t]
     reach = {label: len(template_words(t)) for label, t in (TEMPLATES if templates is None else templates).items()} if wrapped else None
     words = [(_hashes(template_words(p)), label) for p, label in phrases.items()]
-    return docs.mapInArrow(_scan(words, ordered, threshold, keep_blocks, reach), RESULT)
+    return docs.mapInArrow(_scan(words, ordered, threshold, keep_blocks, often, reach), RESULT)

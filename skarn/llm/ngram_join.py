@@ -44,7 +44,7 @@ from .textkit import Words, byte_values, mix, not_space, runs
 RATIO = 1.3
 SMALL = 64
 LEAST = 1
-TILE, TILE_BYTES = 1500, 16 << 20
+TILE, TILE_BYTES = 600, 16 << 20
 CROWD = 2000
 HELD_BYTES = 8 << 20
 COUNTS = 64
@@ -390,16 +390,12 @@ def counts(sets: list[np.ndarray]) -> np.ndarray:
     return points
 
 
-def link(sets: list[np.ndarray], side: np.ndarray, part: np.ndarray, two: bool, percent: int, whole: bool = False) -> list[tuple[int, int, int]]:
+def link(sets: list[np.ndarray], side: np.ndarray, two: bool, percent: int, whole: bool = False) -> list[tuple[int, int, int]]:
     """Links (row, row, overlap) between side 0 and 1 if there are ``two``, else between all rows.
 
-    Rows of one ``part`` are known to be connected.  What is returned connects whatever is linked
-    beyond that: at most one link less than there are rows.  With ``whole``, all links are returned."""
+    What is returned connects whatever is linked: at most one link less than there are rows.  With
+    ``whole``, all links are returned."""
     parents = Parents(len(sets))
-    if not whole:
-        first: dict[int, int] = {}
-        for i, p in enumerate(part.tolist()):
-            parents.join(i, first.setdefault(p, i))
     sizes, points = np.array([len(s) for s in sets]), counts(sets)
     held = np.flatnonzero(side == 0) if two else np.arange(len(sets))
     asking = np.flatnonzero(side == 1) if two else np.arange(len(sets))
@@ -444,54 +440,63 @@ def _sets(k: int, percent: int):
     return run
 
 
-def _tiles(percent: int, whole: bool):
+TILED = "a long, b long, shared long, n_a long, n_b long, k1 long, k2 long, block long, size int, packed binary"
+
+
+def _tiles(percent: int, whole: bool, heads: bool):
     """Links within tiles; rows come sorted by tile, and one tile is held at a time.
 
-    A member is known by its set's key (k1, k2): repeated rows are one, texts that share a doc_id are not."""
-    names = ["a", "b", "shared", "n_a", "n_b"]
+    A member is known by its set's key (k1, k2): repeated rows are one, texts that share a doc_id are
+    not.  With ``heads``, a tile by itself also tells one member of each of its connected parts:
+    with its set if the block has other tiles."""
 
     def close(tile: tuple | None, held: dict) -> list[tuple]:
-        if len(held) < 2:
+        rows, keys = list(held.values()), list(held)
+        if not rows:
             return []
-        rows = list(held.values())
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        found = link(sets, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), tile[1] != tile[2], percent, whole)
+        two, sets = tile[1] != tile[2], [np.frombuffer(r["packed"], np.uint64) for r in rows]
+        found = link(sets, np.array([int(r["chunk"] != tile[1]) for r in rows]), two, percent, whole) if len(rows) > 1 else []
         own = [len(s).bit_length() - 1 for s in sets]  # a pair is told where the smaller set's size is
-        return [(rows[i][0], rows[j][0], both, len(sets[i]), len(sets[j])) for i, j, both in found if not whole or min(own[i], own[j]) == rows[i][4]]
+        out = [(rows[i]["rep"], rows[j]["rep"], both, len(sets[i]), len(sets[j]), *[None] * 5) for i, j, both in found if not whole or min(own[i], own[j]) == rows[i]["size"]]
+        if heads and not two:
+            parents = Parents(len(rows))
+            for i, j, _ in found:
+                parents.join(i, j)
+            out += [(r["rep"], None, None, None, None, *keys[i], tile[0], r["size"], r["packed"] if r["tiles"] > 1 else None) for i, r in enumerate(rows) if parents.find(i) == i]
+        return out
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(5)], names=names)
+        kinds = [pa.int64()] * 8 + [pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], names=[f.split()[0] for f in TILED.split(", ")])
 
     def run(batches):
         now, held = None, {}
         for batch in batches:
             out: list[tuple] = []
-            tile = list(zip(*(batch.column(c).to_pylist() for c in ("block", "ti", "tj")), strict=True))
-            rep, k1, k2, chunk, part, size = (batch.column(c).to_pylist() for c in ("rep", "k1", "k2", "chunk", "part", "size"))
-            packed = batch.column("packed")
-            for r, key in enumerate(tile):
+            for r in batch.to_pylist():
+                key = (r["block"], r["ti"], r["tj"])
                 if key != now:
                     out += close(now, held)
                     now, held = key, {}
-                held[k1[r], k2[r]] = (rep[r], int(chunk[r] != key[1]), part[r], packed[r].as_py(), size[r])
+                held[r["k1"], r["k2"]] = r
             yield batch_of(out)
         yield batch_of(close(now, held))
 
     return run
 
 
-LINK = "a long, b long, shared long, n_a long, n_b long"
-
+def _deal(sets: DataFrame, tiles: DataFrame, percent: int, pairs: str, whole: bool = False, heads: bool = False) -> DataFrame:
+    """What tiles of sets(rep, k1, k2, block, size, packed) tell: ``pairs`` is "none" for each tile by
+    itself, "two" for each two tiles, "all" for both.
 
-def _deal(sets: DataFrame, tiles: DataFrame, percent: int, pairs: bool, whole: bool = False) -> DataFrame:
-    """Links in tiles of sets(rep, k1, k2, block, size, part, packed): each tile and, with ``pairs``, each two.
-
-    ``tiles`` has the number of tiles of each block.  With ``pairs`` each tile goes to as many
-    places as its block has tiles."""
+    ``tiles`` has the number of tiles of each block.  Where tiles meet two by two, each goes to as
+    many places as its block has tiles."""
     placed = _of_blocks(sets, tiles).withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), "tiles").cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)) if pairs else F.col("chunk"))
-    out = placed.select("block", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"), "rep", "k1", "k2", "chunk", "part", "size", "packed")
-    return out.repartition(width(sets.sparkSession), "block", "ti", "tj").sortWithinPartitions("block", "ti", "tj").mapInArrow(_tiles(percent, whole), LINK)
+    placed = placed.withColumn("other", F.col("chunk") if pairs == "none" else F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    if pairs == "two":
+        placed = placed.where("chunk <> other")
+    out = placed.select("block", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"), "rep", "k1", "k2", "chunk", "tiles", "size", "packed")
+    return out.repartition(width(sets.sparkSession), "block", "ti", "tj").sortWithinPartitions("block", "ti", "tj").mapInArrow(_tiles(percent, whole, heads), TILED)
 
 
 def _tile_counts(sets: DataFrame) -> DataFrame:
@@ -526,24 +531,22 @@ def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
 
 
 def _linked(sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect whatever is linked."""
+    """Links (a, b) that connect whatever is linked."""
     tiles = _tile_counts(sets)
-    links = checkpoint(_deal(sets.withColumn("part", F.xxhash64("k1", "k2")), tiles, percent, False))
     wide = tiles.where("tiles > 1")
+    first = checkpoint(_deal(sets, tiles, percent, "none", heads=True))
+    links = first.where("b IS NOT NULL").select("a", "b")
     if not wide.limit(1).count():
         return links
-
-    def parted(rows: DataFrame) -> DataFrame:
-        found = components(links.select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("part"))
-        return rows.join(found, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-
-    sets = written(_of_blocks(sets, wide.select("block", "n")))
-    heads = written(parted(sets).where("rep = part"))  # a member of each part that a tile or two have made
-    links = checkpoint(links.unionByName(_deal(heads, _tile_counts(heads), percent, True)))
-    rest = written(parted(sets))
-    torn = rest.groupBy("block").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("block")
-    torn = checkpoint(wide.join(torn, "block", "left_semi"))  # blocks still in parts: all pairs of tiles, less those within a part
-    return checkpoint(links.unionByName(_deal(rest, torn, percent, True)))
+    heads = first.where("packed IS NOT NULL").select(F.col("a").alias("rep"), "k1", "k2", "block", "size", "packed")
+    several = _tile_counts(heads)
+    second = checkpoint(_deal(heads, several, percent, "all", heads=True))
+    left = second.where("k1 IS NOT NULL").groupBy("block").agg(F.count("*").alias("parts")).where("parts > 1").select("block")
+    torn = checkpoint(wide.join(left, "block", "left_semi"))  # still in parts, as far as the heads tell: all pairs of tiles
+    links = links.unionByName(second.where("b IS NOT NULL").select("a", "b"))
+    if torn.limit(1).count():
+        links = links.unionByName(checkpoint(_deal(sets, torn, percent, "two")).select("a", "b"))
+    return links
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -560,7 +563,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     known = every.where("doc_id IS NOT NULL")
     several = known.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x <> y").select("doc_id")
     tied = known.join(several, "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct().join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = checkpoint(components(_linked(sets, percent).select("a", "b").unionByName(tied)))
+    found = checkpoint(components(_linked(sets, percent).unionByName(tied)))
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     texts = known.where("n_shingles > 0")
     told = spread_join(texts, named, texts.count(), ["k1", "k2"])
@@ -579,7 +582,7 @@ def ngram_jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple
     pairs.  There are as many rows as links: n * (n - 1) / 2 in a group of n near copies.
     """
     every, classes, sets = _prepare(docs, k, percent)
-    links = _deal(sets.withColumn("part", F.lit(0).cast("long")), _tile_counts(sets), percent, True, whole=True)
+    links = _deal(sets, _tile_counts(sets), percent, "all", whole=True).select("a", "b", "shared", "n_a", "n_b")
     texts = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     others = every.where("n_shingles = 0 OR doc_id IS NULL")
     members = spread_join(texts, classes, texts.count(), ["k1", "k2"]).unionByName(others, allowMissingColumns=True)

@@ -72,9 +72,29 @@ def test_url_filter_equals_brute_force(spark):
                 expected = (max(past)[1], key, max(past)[0])
                 break
         assert got[i] == expected
+    none = url_filters.url_filter(spark.createDataFrame(rows, "page_id long, url string, fetch_date date, key string"), spark.createDataFrame([], "key string, action string, date date")).collect()
+    assert len(none) == len(rows) and {x["verdict"] for x in none} == {"none"}
     assert url_filters.url_filter(spark.createDataFrame([], "page_id long, url string, fetch_date date"), spark.createDataFrame(entries, "key string, action string, date date")).count() == 0
 
 
+def test_hot_hosts_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    test_url_filter_equals_brute_force(spark)
+
+
+def test_leaves_in_chunks_give_the_same(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.integers(-2, 3, size=(700, 8))  # many equal scores across different vectors
+    df = spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, ann_forest.nearest(df, k=10).collect()))
+    for q in range(0, 700, 20):
+        mine = [w for w in whole if w[0] == q]
+        assert [(-s, v) for _, _, v, s in mine] == sorted((-s, v) for _, _, v, s in mine) and all(s == float(x[q] @ x[v]) for _, _, v, s in mine)
+    monkeypatch.setattr(ann_forest, "CHUNK_ROWS", 40)
+    monkeypatch.setattr(ann_forest, "BLOCK_QUERIES", 10)
+    assert sorted(map(tuple, ann_forest.nearest(df, k=10).collect())) == whole
+
+
 def labelled(spark):
     r = random.Random(4)
     rows, labels = [], []

@@ -1,10 +1,11 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
-from skarn.llm import decontaminate, language_id, license_scan, ngram_join, secret_scan, substring_dedup
+from skarn.llm import decontaminate, language_id, license_scan, ngram_join, queries, secret_scan, substring_dedup
 from skarn.llm.textkit import Words, byte_values, not_space
 
 SCHEMA = "doc_id long, text string, block int, rep long"  # the last two clash with inner names
@@ -234,6 +235,28 @@ def test_license_join_is_exact(spark):
         assert got[i] == ",".join(sorted(expected))
 
 
+def test_filters_lose_nothing():
+    r = random.Random(9)
+    for _ in range(2000):
+        words = list(range(20))
+        often = {w: r.randint(0, 5) for w in words}
+        order = sorted(words, key=lambda w: (often[w], w))
+        place = {w: k for k, w in enumerate(order)}
+        template = sorted(r.sample(words, r.randint(1, 8)), key=place.__getitem__)
+        rank = {w: k for k, w in enumerate(template)}
+        need = r.randint(1, len(template))
+        block = set(r.sample(range(26), r.randint(0, 12)))
+        both = len(block & set(template))
+        held = sorted(place[w] for w in block if w in place)
+        assert license_scan.overlap(block, held, place, rank, need, len(template) - need + 1) == (both if both >= need else 0)
+
+
+def test_repeated_rows_are_scanned_each(spark):
+    rows = [(1, "MIT License"), (1, "MIT License"), (1, None), (None, "MIT License")]
+    got = sorted((x["doc_id"] or 0, x["n_base"]) for x in license_scan.license_scan(frame(spark, rows)).collect())
+    assert got == [(0, 1), (1, 0), (1, 1), (1, 1)]
+
+
 def test_license_templates_over_lines(spark):
     mit = "MIT\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the"
     got = {x["doc_id"]: x for x in license_scan.license_scan(frame(spark, [(1, mit), (2, "of this software and associated"), (3, None)]), wrapped=True).collect()}
@@ -276,6 +299,79 @@ def test_secret_scan(spark):
     assert secret_scan.secret_scan(frame(spark, [])).count() == 0
 
 
+def scanned(text):
+    """Base findings by reading characters: (start, end, kind)."""
+    word = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    run = lambda at, ok: next((j for j in range(at, len(text)) if text[j] not in ok), len(text))
+
+    def assignment(i):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(name, i):
+                at = i + len(name)
+                at += text[at : at + 1] in ("'", '"')
+                at = run(at, " ")
+                if text[at : at + 1] in (":", "="):
+                    at = run(at + 1, " ")
+                    at += text[at : at + 1] in ("'", '"')
+                    if (end := run(at, word)) > at:
+                        return end, end - at >= 12
+        return None
+
+    def access(i):
+        end = run(i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", i) else 0
+        return (end, end - i >= 18) if end > i + 4 else None
+
+    def hexes(i):
+        end = run(i, set("0123456789abcdef"))
+        return (end, end - i >= 16) if end > i else None
+
+    out = []
+    for kind, match in enumerate((assignment, access, hexes)):
+        i = 0
+        while i < len(text):
+            found = match(i)
+            if found and found[1]:
+                out.append((i, found[0], kind))
+            i = found[0] if found else i + 1
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_base_findings_equal_a_scan_by_characters(spark):
+    r = random.Random(41)
+    bits = ["password", "PassWd", "secret", "token", "Api_Key", "apikey", "=", ":", " ", "  ", "'", '"', "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "x-y.z/", "é", "\u212a", "\n", "ſecret", "Zz9", "==", "AKIAAKIA7"]
+    rows = [(i, "".join(r.choices(bits, k=r.randint(0, 25)))) for i in range(400)] + [(900, None), (901, "")]
+    got = {x["doc_id"]: x for x in secret_scan.secret_scan(frame(spark, rows)).collect()}
+    some = 0
+    for i, t in rows:
+        spans = scanned(t or "")
+        some += len(spans)
+        said = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, b, k in spans)
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(sum(s[2] == k for s in spans) for k in range(3)), t
+        assert got[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert [x for x in got[i]["spans"].split(",") if x and not x.startswith("cnn")] == ([x for x in said.split(",") if x])
+    assert some > 300
+
+
+def test_secrets_of_a_format_that_was_not_learnt(spark, monkeypatch):
+    """Recall on a kind of secret that training leaves out: base64 keys, while only formats of letters and digits are learnt."""
+    plain = secret_scan.synthetic
+
+    def learnt(r):
+        while True:
+            s = plain(r)
+            if not set(s) & set("+/="):
+                return s
+
+    monkeypatch.setattr(secret_scan, "synthetic", learnt)
+    model = secret_scan.train(frame(spark, secrets()))
+    r = random.Random(43)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    unseen = ["".join(r.choices(letters, k=43)) + "=" for _ in range(100)]
+    best = [model.score(secret_scan.encode(secret_scan.windows(f"prose about {u} and on", 12, 12 + len(u)))).max() for u in unseen]
+    assert (np.array(best) >= model.threshold).mean() >= 0.9
+
+
 def test_cnn_learns_held_out_findings(spark):
     model = secret_scan.train(frame(spark, secrets()))
     r = random.Random(9)
@@ -342,6 +438,24 @@ def test_language_id(spark):
     assert language_id.language_id(df.where("false"), None).count() == 0
 
 
+def test_op6_contract(spark, tmp_path):
+    """The split is by checksum, held-out rows teach nothing, and columns other than text predict nothing."""
+    r = random.Random(6)
+    syllables = {"aa": ["ba", "lo", "mi"], "bb": ["sch", "üng", "ter"]}
+    rows = [(i, " ".join("".join(r.choices(syllables[lang], k=3)) for _ in range(12)), lang, "s") for i, lang in enumerate(["aa", "bb"] * 90)]
+    rows += [(1000, None, "aa", "s"), (1001, "12 !", "bb", "s"), (None, rows[0][1], "bb", "s"), (1003, rows[1][1], None, "s")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    told = []
+    for version, change in enumerate((lambda x: x, lambda x: (x[0], x[1], "zz" if held(x[0]) else x[2], f"other{x[0]}"))):
+        folder = f"{tmp_path}/{version}"
+        spark.createDataFrame([change(x) for x in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+        told.append({x["doc_id"]: (x["held_out"], x["lang_pred"], x["score"]) for x in queries.op6_language_id(spark, folder).collect()})
+    assert told[0] == told[1] and all(x[0] == held(i) for i, x in told[0].items())
+    assert {x[1] for x in told[0].values()} == {"aa", "bb", "und"} and all(0 <= x[2] <= 1 for x in told[0].values())
+    assert told[0][1000][1:] == ("und", 0.0) == told[0][1001][1:] and told[0][None][1] == "aa"
+    assert sum(told[0][i][1] == lang for i, _, lang, _ in rows[:180] if held(i)) >= 0.95 * sum(map(held, range(180)))
+
+
 def brute_distance(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p, 1):
