@@ -14,7 +14,7 @@ import tomllib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .. import model
 from ..functions.text import glob_regex
@@ -304,7 +304,7 @@ def extract(files: DataFrame, extractors: dict[str, tuple[list[str], Extractor]]
                         continue
                     try:
                         facts = f(path, content)
-                        facts = facts if name not in EXTRACTORS or len(facts) <= model.MAX_RECORDS else facts[:FACTS]
+                        facts = facts if name not in EXTRACTORS or len(facts) <= model.MAX_RECORDS else facts[:FACTS]  # our own are cut rather than refused
                         message = problem(facts, content.count("\n") + 1)
                     except Exception as e:  # an extractor's failure is a diagnostic of the file
                         facts, message = [], str(e)[:500] or type(e).__name__
@@ -319,3 +319,9 @@ def extract(files: DataFrame, extractors: dict[str, tuple[list[str], Extractor]]
             yield out
 
     return files.select("path", "content").mapInPandas(run, model.RECORD + ", message string")
+
+
+def dry_run(spark: SparkSession, name: str, path: str, content: str) -> list[dict]:
+    """What one extractor gives for one file, whether or not its globs take the path."""
+    rows = spark.createDataFrame([(path, content)], "path string, content string")
+    return [{k: v for k, v in r.asDict().items() if v is not None} for r in extract(rows, {name: (["**"], EXTRACTORS[name][1])}).collect()]

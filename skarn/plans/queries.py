@@ -376,10 +376,10 @@ b AS (SELECT doc_id, i, line, octet_length(encode(line)) AS size, sum(octet_leng
 e AS (SELECT a.doc_id, a.i, any_value(a.n) AS n, any_value(a.size) AS size, max(z.i) AS last FROM b a JOIN b z ON z.doc_id = a.doc_id AND z.i BETWEEN a.i AND a.i + 159 AND z.upto - a.upto + a.size <= 8192 GROUP BY a.doc_id, a.i
   UNION ALL SELECT doc_id, i, n, size, i FROM b WHERE size > 8192),
 w(doc_id, i) AS (SELECT DISTINCT doc_id, CAST(1 AS BIGINT) FROM l UNION SELECT w.doc_id, CASE WHEN e.size > 8192 THEN e.i + 1 WHEN e.last - 20 + 1 > e.i THEN e.last - 20 + 1 ELSE e.last + 1 END FROM w JOIN e USING (doc_id, i) WHERE e.last < e.n)
-SELECT {PATH} AS path, CAST(i AS INTEGER) AS start_line, CAST(last AS INTEGER) AS end_line FROM w JOIN e USING (doc_id, i) JOIN documents d USING (doc_id) WHERE e.size <= 8192 AND trim(array_to_string(list_slice(string_split(d.text, chr(10)), i, last), chr(10)), chr(10) || ' ') <> ''""")
+SELECT {PATH} AS path, CAST(i AS INTEGER) AS start_line, CAST(last AS INTEGER) AS end_line, sha256(trim(array_to_string(list_slice(string_split(d.text, chr(10)), i, last), chr(10)), chr(10) || chr(9) || chr(13) || ' ')) AS sha256 FROM w JOIN e USING (doc_id, i) JOIN documents d USING (doc_id) WHERE e.size <= 8192 AND trim(array_to_string(list_slice(string_split(d.text, chr(10)), i, last), chr(10)), chr(10) || ' ') <> ''""")
 def chunk_windows(spark, sf):
     records = chunking.chunk_records(document_files(table(spark, sf, "documents")))
-    return records.where("kind <> 'file' AND metadata IS NULL").select("path", "start_line", "end_line")
+    return records.where("kind <> 'file' AND metadata IS NULL").select("path", "start_line", "end_line", F.sha2("text", 256).alias("sha256"))
 
 
 @query()
@@ -437,7 +437,7 @@ def excerpt_budget(spark, sf):
 #: Cases: languages; results: the documents of a case by length; truth: its labelled good documents of source src1.
 _CASES = f"""
 results AS (SELECT lang AS case_id, {PATH} AS path, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 60),
-truth AS (SELECT lang AS case_id, {PATH} AS path FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND n_chars > 6000),
+truth AS (SELECT lang AS case_id, {PATH} AS path FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
 sizes AS (SELECT case_id, count(*) AS n FROM truth GROUP BY case_id),
 got AS (SELECT r.*, t.path IS NOT NULL AS hit FROM results r LEFT JOIN truth t USING (case_id, path) WHERE rank <= 20),
 metrics AS (SELECT case_id, round(count(*) FILTER (hit AND rank <= 10) / n, 9) AS recall_at_10, round(coalesce(1.0 / min(rank) FILTER (hit), 0.0), 9) AS mrr, round(avg((NOT hit)::INT), 9) AS noise_at_20 FROM sizes JOIN got USING (case_id) GROUP BY case_id, n)"""
@@ -446,7 +446,7 @@ metrics AS (SELECT case_id, round(count(*) FILTER (hit AND rank <= 10) / n, 9) A
 def _metrics(spark, sf):
     d = table(spark, sf, "documents").withColumn("path", F.concat("lang", F.lit("/"), "source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt")))
     results = d.select(F.col("lang").alias("case_id"), "path", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).alias("rank")).where("rank <= 60")
-    truth = d.where("n_chars > 6000").join(table(spark, sf, "labels").where("quality = 1"), "doc_id").select(F.col("lang").alias("case_id"), "path")
+    truth = d.join(table(spark, sf, "labels").where("quality = 1"), "doc_id").select(F.col("lang").alias("case_id"), "path")
     return evaluate.case_metrics(results, truth)
 
 

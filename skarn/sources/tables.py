@@ -30,10 +30,11 @@ def read_files(spark: SparkSession, root: str, ignore: list[str] | None = None,
     """files(path, size, mtime_ns, kind, content, content_hash, reason) of a directory tree, read by Spark.
 
     Where a file is skipped, reason says why and content is null; dotenv files are redacted
-    before anything else sees them."""
+    before anything else sees them.  The reader passes over the contents of files that are too large."""
     base = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace(F.col("path"), "^.*?" + T.quote(root.rstrip("/")) + "/", "")
-    files = base.select(rel.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("content").alias("raw"))
+    told = lambda rows, raw: rows.select(rel.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), raw.alias("raw"))
+    files = told(base.where(F.col("length") <= most), F.col("content")).unionByName(told(base.where(F.col("length") > most), F.lit(None).cast("binary")))
     files = files.where(~T.ignored(F.col("path"), ignore or []))
     return checked(files, most)
 

@@ -53,11 +53,12 @@ def listing(root: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def read_worktree(spark: SparkSession, root: str, ignore: list[str] | None = None, most: int = model.MAX_FILE_BYTES) -> DataFrame:
+def read_worktree(spark: SparkSession, root: str, ignore: list[str] | None = None, most: int = model.MAX_FILE_BYTES, only: set[str] | None = None) -> DataFrame:
     """The columns of ``read_files`` for a working tree; only files that may pass are opened.
 
-    A file that vanished after the listing has the reason "unreadable".  An empty tree gives no rows."""
-    rows = listing(root)
+    ``only`` names the paths to read.  A file that vanished after the listing has the reason
+    "unreadable".  An empty tree gives no rows."""
+    rows = [r for r in listing(root) if only is None or r[0] in only]
     files = spark.createDataFrame(rows, "path string, size long, mtime_ns long").where(~T.ignored(F.col("path"), ignore or []))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
