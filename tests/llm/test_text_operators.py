@@ -340,7 +340,7 @@ def scanned(text):
 def test_base_findings_equal_a_scan_by_characters(spark):
     r = random.Random(41)
     bits = ["password", "PassWd", "secret", "token", "Api_Key", "apikey", "=", ":", " ", "  ", "'", '"', "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "x-y.z/", "é", "\u212a", "\n", "ſecret", "Zz9", "==", "AKIAAKIA7"]
-    rows = [(i, "".join(r.choices(bits, k=r.randint(0, 25)))) for i in range(400)] + [(900, None), (901, "")]
+    rows = [(i, "".join(r.choices(bits, k=r.randint(0, 25)))) for i in range(800)] + [(900, None), (901, "")]
     got = {x["doc_id"]: x for x in secret_scan.secret_scan(frame(spark, rows)).collect()}
     some = 0
     for i, t in rows:
