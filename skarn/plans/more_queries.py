@@ -386,51 +386,52 @@ def _extractor_sql(path: str, facts: list[tuple]) -> str:
     return " UNION ALL ".join(f"SELECT {path} AS path, '{kind}' AS kind, {title} AS title, CAST({a} AS INTEGER) AS start_line, CAST({b} AS INTEGER) AS end_line, CAST(NULL AS VARCHAR) AS message FROM nation WHERE {where}" for kind, title, a, b, where in facts)
 
 
-_N = F.col("n_name")
+def _name():
+    return F.col("n_name")
 
 
 @query(_extractor_sql("'d/' || n_name || '.md'", [("markdown-section", "n_name", 1, 4, "true"), ("markdown-section", "'Part of ' || n_regionkey", 5, "CASE WHEN n_nationkey % 2 = 0 THEN 8 ELSE 10 END", "true"), ("markdown-fence", "'sh'", 7, 10, "true")]))
 def extract_markdown(spark, sf):
     comment = F.when(F.col("n_nationkey") % 2 == 0, "# not a section").otherwise("echo")
-    return _facts(spark, sf, "markdown", F.concat(F.lit("d/"), _N, F.lit(".md")), F.concat(F.lit("# "), _N, F.lit(" ##\ntext\n#hashtag\n\n## Part of "), F.col("n_regionkey").cast("string"), F.lit("\n\n```sh\nls\n"), comment, F.lit("\n```")))
+    return _facts(spark, sf, "markdown", F.concat(F.lit("d/"), _name(), F.lit(".md")), F.concat(F.lit("# "), _name(), F.lit(" ##\ntext\n#hashtag\n\n## Part of "), F.col("n_regionkey").cast("string"), F.lit("\n\n```sh\nls\n"), comment, F.lit("\n```")))
 
 
 @query(_extractor_sql("'m/' || n_name || '.py'", [("python-import", "'os'", 1, 1, "n_nationkey % 5 <> 0"), ("python-import", "'.' || lower(n_name)", 2, 2, "n_nationkey % 5 <> 0"), ("python-class", "n_name", 3, 3, "n_nationkey % 5 <> 0"), ("python-method", "n_name || '.run'", 4, 4, "n_nationkey % 5 <> 0"), ("python-function", "'f_' || lower(n_name)", 5, 5, "n_nationkey % 5 <> 0"), ("python-navigation", "'m/' || n_name || '.py'", 1, 5, "n_nationkey % 5 <> 0")]) + " UNION ALL SELECT 'm/' || n_name || '.py', NULL, NULL, NULL, NULL, 'line 1: invalid syntax' FROM nation WHERE n_nationkey % 5 = 0")
 def extract_python(spark, sf):
-    good = F.concat(F.lit("import os\nfrom ."), F.lower(_N), F.lit(" import x\nclass "), _N, F.lit(":\n    async def run(self): pass\ndef f_"), F.lower(_N), F.lit("(a): return 1"))
-    return _facts(spark, sf, "python", F.concat(F.lit("m/"), _N, F.lit(".py")), F.when(F.col("n_nationkey") % 5 == 0, "def (:").otherwise(good))
+    good = F.concat(F.lit("import os\nfrom ."), F.lower(_name()), F.lit(" import x\nclass "), _name(), F.lit(":\n    async def run(self): pass\ndef f_"), F.lower(_name()), F.lit("(a): return 1"))
+    return _facts(spark, sf, "python", F.concat(F.lit("m/"), _name(), F.lit(".py")), F.when(F.col("n_nationkey") % 5 == 0, "def (:").otherwise(good))
 
 
 @query(_extractor_sql("'g/' || n_name || '.go'", [("go-import", "'fmt'", 3, 3, "true"), ("go-type", "n_name", 5, 5, "true"), ("go-const", "'C' || n_nationkey", 7, 7, "true"), ("go-function", "'New' || n_name", 9, 9, "true"), ("go-method", "n_name || '.Run'", 13, 13, "true"), ("go-navigation", "'g/' || n_name || '.go'", 1, 13, "true")]))
 def extract_go(spark, sf):
-    return _facts(spark, sf, "go", F.concat(F.lit("g/"), _N, F.lit(".go")), F.concat(F.lit('package a\n\nimport "fmt"\n\ntype '), _N, F.lit(" struct{}\n\nconst C"), F.col("n_nationkey").cast("string"), F.lit(' = "func No() {}"\n\nfunc New'), _N, F.lit("() {\n\tvar inner = 1\n}\n\nfunc (n *"), _N, F.lit(") Run() {}")))
+    return _facts(spark, sf, "go", F.concat(F.lit("g/"), _name(), F.lit(".go")), F.concat(F.lit('package a\n\nimport "fmt"\n\ntype '), _name(), F.lit(" struct{}\n\nconst C"), F.col("n_nationkey").cast("string"), F.lit(' = "func No() {}"\n\nfunc New'), _name(), F.lit("() {\n\tvar inner = 1\n}\n\nfunc (n *"), _name(), F.lit(") Run() {}")))
 
 
 @query(_extractor_sql("'w/' || n_name || '.ts'", [("typescript-import", "'./' || lower(n_name)", 1, 1, "true"), ("typescript-export", "'../region'", 2, 2, "true"), ("typescript-interface", "n_name", 3, 3, "true"), ("typescript-const", "'key'", 4, 4, "true"), ("typescript-function", "'load'", 5, 5, "true"), ("typescript-navigation", "'w/' || n_name || '.ts'", 1, 8, "true")]))
 def extract_typescript(spark, sf):
-    return _facts(spark, sf, "typescript", F.concat(F.lit("w/"), _N, F.lit(".ts")), F.concat(F.lit("import { a } from './"), F.lower(_N), F.lit("'\nexport * from '../region'\nexport interface "), _N, F.lit(" {}\nconst key = "), F.col("n_nationkey").cast("string"), F.lit("\nexport async function load() {\n  const inner = 2\n}\n// class No {}")))
+    return _facts(spark, sf, "typescript", F.concat(F.lit("w/"), _name(), F.lit(".ts")), F.concat(F.lit("import { a } from './"), F.lower(_name()), F.lit("'\nexport * from '../region'\nexport interface "), _name(), F.lit(" {}\nconst key = "), F.col("n_nationkey").cast("string"), F.lit("\nexport async function load() {\n  const inner = 2\n}\n// class No {}")))
 
 
 @query(_extractor_sql("'p/' || n_nationkey || '/package.json'", [("npm-package", "lower(n_name)", 1, 1, "true"), ("npm-dependency", "'dep-' || n_regionkey", 1, 1, "true"), ("npm-dependency", "'dev-' || n_nationkey", 1, 1, "true"), ("package-script", "'build'", 1, 1, "true"), ("workspace-member", "'packages/*'", 1, 1, "true")]))
 def extract_manifest(spark, sf):
     k, r = (F.col(c).cast("string") for c in ("n_nationkey", "n_regionkey"))
-    content = F.concat(F.lit('{"name": "'), F.lower(_N), F.lit('", "dependencies": {"dep-'), r, F.lit('": "^1"}, "devDependencies": {"dev-'), k, F.lit('": "2"}, "scripts": {"build": "make"}, "workspaces": ["packages/*"]}'))
+    content = F.concat(F.lit('{"name": "'), F.lower(_name()), F.lit('", "dependencies": {"dep-'), r, F.lit('": "^1"}, "devDependencies": {"dev-'), k, F.lit('": "2"}, "scripts": {"build": "make"}, "workspaces": ["packages/*"]}'))
     return _facts(spark, sf, "manifest", F.concat(F.lit("p/"), k, F.lit("/package.json")), content)
 
 
 @query(_extractor_sql("'i/' || n_name || '.tf'", [("terraform-block", "'resource.aws_x.' || lower(n_name)", 1, 1, "true"), ("terraform-attribute", "'resource.aws_x.' || lower(n_name) || '.name'", 2, 2, "true")]))
 def extract_terraform(spark, sf):
-    return _facts(spark, sf, "terraform", F.concat(F.lit("i/"), _N, F.lit(".tf")), F.concat(F.lit('resource "aws_x" "'), F.lower(_N), F.lit('" {\n  name = var.region\n}')))
+    return _facts(spark, sf, "terraform", F.concat(F.lit("i/"), _name(), F.lit(".tf")), F.concat(F.lit('resource "aws_x" "'), F.lower(_name()), F.lit('" {\n  name = var.region\n}')))
 
 
 @query(_extractor_sql("'j/' || n_name || '.java'", [("java-package", "'a.' || lower(n_name)", 1, 1, "true"), ("java-import", "'c.D'", 2, 2, "true"), ("java-definition", "n_name", 3, 3, "true"), ("java-definition", "n_name || '.run'", 4, 4, "true")]))
 def extract_jvm(spark, sf):
-    return _facts(spark, sf, "jvm-dotnet", F.concat(F.lit("j/"), _N, F.lit(".java")), F.concat(F.lit("package a."), F.lower(_N), F.lit(";\nimport c.D;\npublic class "), _N, F.lit(" {\n  public void run() {\n  }\n}")))
+    return _facts(spark, sf, "jvm-dotnet", F.concat(F.lit("j/"), _name(), F.lit(".java")), F.concat(F.lit("package a."), F.lower(_name()), F.lit(";\nimport c.D;\npublic class "), _name(), F.lit(" {\n  public void run() {\n  }\n}")))
 
 
 @query(_extractor_sql("'c/' || n_name || '.clj'", [("clojure-file", "'a.' || lower(n_name)", 1, 3, "true")]))
 def extract_clojure(spark, sf):
-    return _facts(spark, sf, "clojure", F.concat(F.lit("c/"), _N, F.lit(".clj")), F.concat(F.lit("(ns a."), F.lower(_N), F.lit("\n  (:require [b.util :as u]))\n(defn f [x] x)")))
+    return _facts(spark, sf, "clojure", F.concat(F.lit("c/"), _name(), F.lit(".clj")), F.concat(F.lit("(ns a."), F.lower(_name()), F.lit("\n  (:require [b.util :as u]))\n(defn f [x] x)")))
 
 
 _BAD = [("kind", "a record lacks kind or text, or names a source"), ("lines", "a record's lines are not in the file"), ("twice", "an id occurs twice"), ("many", "too many records")]
