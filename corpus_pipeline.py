@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarn.llm import mixing, quality
-from skarn.llm.common import column, free, shared_folder, table
+from skarn.llm.common import checkpoint, column, free, shared_folder, sieve, table
 from skarn.llm.decontaminate import decontaminate
 from skarn.llm.ngram_join import ngram_jaccard_join
 from skarn.llm.secret_scan import secret_scan_in_place
@@ -23,13 +23,17 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows without doc_id stay.  Rows that repeat a doc_id are one document and leave one row: that of
     the least text, a null text last; of equal texts, that of the least other columns."""
     found = ngram_jaccard_join(docs, k=5, percent=80)
-    rows = free(docs.columns, "rows")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(rows))
-    out = docs.join(kept, "doc_id")
+    rows, gone = free(docs.columns, "rows"), free(docs.columns, "gone")
+    told = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias(rows), F.max(F.col("doc_id") != F.col("component_id")).alias(gone))
+    special = checkpoint(told.where(column(gone) | (column(rows) > 1)))
+    # Only documents that may go or repeat are shuffled.
+    asked = sieve(special.select(F.xxhash64("doc_id")), special.count())(F.xxhash64(F.col("doc_id").cast("long")))
+    asked = F.col("doc_id").isNotNull() & asked
+    out = docs.where(asked).join(special, "doc_id", "left").where(~F.coalesce(column(gone), F.lit(False)))
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.to_json(F.struct(*map(column, docs.columns))))
     repeated = out.where(column(rows) > 1).withColumn(rows, F.row_number().over(order))
-    one = out.where(column(rows) == 1).unionByName(repeated.where(column(rows) == 1))
-    return one.select(*map(column, docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+    one = out.where(column(rows).isNull()).unionByName(repeated.where(column(rows) == 1))
+    return docs.where(~asked).unionByName(one.select(*map(column, docs.columns)))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

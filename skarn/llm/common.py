@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import os
 import tempfile
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,6 +190,53 @@ def spread_join(big: DataFrame, small: DataFrame, rows: int, on: list[str], n: s
     return big.join(F.broadcast(hot), on).unionByName(rest)
 
 
+SIEVE_BITS, SIEVE_PIECE = 1 << 25, 1 << 16
+
+
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = h.view(np.uint64)
+    return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
+
+
+def _sieve(bits: int):
+    def run(batches):
+        held = np.zeros(bits, bool)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy(), bits):
+                held[at] = True
+        whole = np.packbits(held)
+        for a in range(0, len(whole), SIEVE_PIECE):
+            if (part := whole[a : a + SIEVE_PIECE]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["at", "packed"])
+
+    return run
+
+
+def _either(group: pa.Table) -> pa.Table:
+    parts = [np.frombuffer(zlib.decompress(p.as_py()), np.uint8) for p in group.column("packed")]
+    return pa.table({"at": group.column("at").slice(0, 1), "packed": pa.array([zlib.compress(np.bitwise_or.reduce(parts).tobytes(), 1)], pa.binary())})
+
+
+def sieve(keys: DataFrame, rows: int) -> Callable[[Column], Column]:
+    """A filter on hashes (``F.xxhash64`` columns), which lets pass all of those in ``keys``, a column
+    of ``rows`` hashes, and few others.
+
+    What it stops needs no shuffle to a join with ``keys``.  It is a Bloom filter of two places in 16
+    bits a key, at most ``SIEVE_BITS`` of them, whatever the number of keys; with more keys more others pass."""
+    bits = min(SIEVE_BITS, 1 << max(10, (16 * rows - 1).bit_length()))
+    schema, whole = "at long, packed binary", np.zeros(bits // 8, np.uint8)
+    for r in keys.mapInArrow(_sieve(bits), schema).groupBy("at").applyInArrow(_either, schema).collect():  # SIEVE_BITS / 8 / SIEVE_PIECE rows at most
+        part = np.frombuffer(zlib.decompress(r["packed"]), np.uint8)
+        whole[r["at"] : r["at"] + len(part)] = part
+    shared = keys.sparkSession.sparkContext.broadcast(whole)
+
+    def passes(h: pa.Array) -> pa.Array:
+        first, second = ((shared.value[at >> 3] >> (7 - (at & 7))) & 1 for at in _places(h.to_numpy(zero_copy_only=False), bits))
+        return pa.array((first & second).astype(bool))
+
+    return F.arrow_udf(passes, "boolean")
+
+
 FOREST_EDGES = 1 << 21
 
 

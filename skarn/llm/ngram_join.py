@@ -7,11 +7,14 @@ similarity reaches a threshold.  The join is exact; nothing is sampled or capped
    into groups.  A link of sets with at most t differences leaves all but t groups equal, so
    with more than t groups some group has equal content on both sides (pigeonhole).  The number
    of groups is fixed per band of set sizes; a set near a band's lower end also enters the band
-   below.  Small groups say little, so there are some groups to spare, s, and each set leaves
-   out its s smallest ones.  At least s + 1 groups of a linked pair are equal; equal groups rank
-   alike on both sides, so the largest of them has s equal ones below it and is entered by both.
-   Groups of less than ``LEAST`` shingles are never entered: if that largest equal group is one
-   of them, both sets hold it among those to enter, and so both go the second way as well.
+   below.  Small groups say little, so there are some groups to spare, s + c, and each set leaves
+   out its s smallest ones.  At least s + c + 1 groups of a linked pair are equal; equal groups rank
+   alike on both sides, so the c + 1 largest of them have s equal ones below them and are entered
+   by both.  Groups of less than ``LEAST`` shingles are never entered: if one of those c + 1 is
+   such, both sets hold it among those to enter, and so both go the second way as well.  Of the
+   groups that other sets have too, each set then leaves out the c that most sets have: the rarest
+   of the c + 1 is kept by both sides.  So sets that share a passage or some frequent shingles, and
+   with them no more than c groups, don't tie, and ties don't chain the corpus to one block.
 2. *The second way* is for small sets, sets whose partners may be small, and sets with groups
    that are too small.  Shingles have one order, by how often a table of counts of fixed size
    has seen their hash over all documents, the rarest first.  Of linked sets, the first
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Router, checkpoint, components, parts, spread_join, star_forest, text_bytes, unpack, width, written
+from .common import Router, checkpoint, components, parts, sieve, spread_join, star_forest, text_bytes, unpack, width, written
 from .textkit import Words, byte_values, mix, not_space, runs
 
 RATIO = 1.3
@@ -90,12 +93,12 @@ class Bands:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * RATIO)))
         return int(np.searchsorted(self.edges, n, side="right")) - 1
 
-    def groups(self, band: int) -> tuple[int, int]:
-        """(groups, groups that are left out) of a band."""
+    def groups(self, band: int) -> tuple[int, int, int]:
+        """(groups, small ones that are left out, common ones that are left out) of a band."""
         if band not in self.known:
             most = (self.edges[band + 1] - 1) * (100 - self.percent) // self.percent  # differences of a linked pair whose smaller set is in the band
             spare = -(-(most + 1) // 4) if most else 0
-            self.known[band] = (most + 1 + spare, spare)
+            self.known[band] = (most + 1 + spare, spare // 2, spare - spare // 2)
         return self.known[band]
 
     def partner(self, n: int) -> int:
@@ -111,14 +114,14 @@ def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, bool]:
     """(keys of the groups to enter, whether all of these are large enough)."""
     out, whole = [np.zeros(0, np.uint64)], True
     for band in bands.of(len(s)):
-        m, spare = bands.groups(band)
+        m, small, _ = bands.groups(band)
         with np.errstate(over="ignore"):
             g = ((mix(s ^ (_B * U(band + 1))) >> U(33)) % U(m)).astype(np.int64)
             content = np.zeros(m, np.uint64)
             np.add.at(content, g, mix(s ^ _C))
-            sig = mix(content ^ mix(np.arange(m, dtype=np.uint64) + (U(band + 1) << U(32))))
+            sig = (mix(content ^ mix(np.arange(m, dtype=np.uint64) + (U(band + 1) << U(32)))) >> U(8)) | (U(min(band, 255)) << U(56))
         sizes = np.bincount(g, minlength=m)
-        chosen = np.lexsort((sig, sizes))[spare:]
+        chosen = np.lexsort((sig, sizes))[small:]
         large = sizes[chosen] >= LEAST
         out.append(sig[chosen[large]])
         whole &= bool(large.all())
@@ -205,6 +208,7 @@ def order_of_shingles(described: DataFrame) -> np.ndarray:
 
 
 GROUP = ["u8", "i8"]
+SHARED = ["u8", "i8", "u2"]
 RARE = ["u8", "i8", "u4", "u8", "u8"]
 TIE = ["i8", "i8"]
 CROWDED = (1 << 32) - 1
@@ -213,9 +217,9 @@ CROWDED = (1 << 32) - 1
 class Entries:
     """Entries by group, by rare shingle, and ties, in three ranges of ``buckets`` buckets.
 
-    Before they are sent, entries of one key meet: of those by group only the least goes on, the
-    others tie to it here, and so do those by rare shingle if they are a crowd.  A key that
-    most documents share so costs no more than an entry for each flush."""
+    Before they are sent, entries of one key meet.  Those by rare shingle tie here to the least of
+    them if they are a crowd, so that a key which most documents share costs no more than an entry
+    for each flush.  Those by group go on, as it counts how many sets have a group."""
 
     def __init__(self, buckets: int):
         self.buckets = buckets
@@ -238,7 +242,7 @@ class Entries:
         sig, key, *more = _distinct(columns)
         cuts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         sizes = np.diff(np.r_[cuts, len(sig)])
-        crowd = sizes > (1 if kind == 0 else CROWD)
+        crowd = (sizes > CROWD) & (kind == 1)
         head = np.repeat(cuts, sizes)
         tied = np.repeat(crowd, sizes)
         a, b = key[tied], key[head[tied]]
@@ -297,13 +301,26 @@ def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[key != head], head[key != head]
 
 
-def _ties(percent: int, buckets: int):
+def _packed(buckets: int, fields: list[str], at: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """Entries for a next shuffle, as a Router packs them."""
+    router = Router(buckets, fields)
+    router.held.append((at.astype(np.int32), *columns))
+    return pa.Table.from_batches(router.flush(), pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
+
+
+def _shared(percent: int, buckets: int):
+    """Of entries by group, those that several sets have, by set; else ties, in the second range of ``buckets``."""
+
     def run(group: pa.Table) -> pa.Table:
         kind = group.column("bucket")[0].as_py() // buckets
         if kind == 2:
             a, b = unpack(group.column("packed"), TIE)
         elif kind == 0:
-            a, b = _stars(*_distinct(unpack(group.column("packed"), GROUP)))
+            sig, key = _distinct(unpack(group.column("packed"), GROUP))
+            sizes = np.diff(np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True])) if len(sig) else np.zeros(0, np.int64)
+            sets = np.repeat(sizes, sizes)
+            sig, key, sets = (c[sets > 1] for c in (sig, key, sets))
+            return _packed(2 * buckets, SHARED, key.view(np.uint64) % U(buckets), sig, key, np.minimum(sets, 65535))
         else:
             columns = unpack(group.column("packed"), RARE)
             order = np.argsort(-columns[2].astype(np.int64), kind="stable")  # of one key's entries, that of a crowd counts
@@ -318,6 +335,40 @@ def _ties(percent: int, buckets: int):
             at = np.array(pairs, np.int64).reshape(-1, 2)
             a, b = key[at[:, 0]], key[at[:, 1]]
         a, b = star_forest(a, b)
+        return _packed(2 * buckets, TIE, a.view(np.uint64) % U(buckets) + U(buckets), a, b)
+
+    return run
+
+
+def _rarest(percent: int, buckets: int):
+    """Entries by group without those that each set leaves out in each band, by group; ties as they are."""
+
+    def run(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() >= buckets:
+            return group.select(["bucket", "packed"])
+        sig, key, sets = unpack(group.column("packed"), SHARED)
+        band = (sig >> U(56)).astype(np.int64)
+        order = np.lexsort((sig, -sets.astype(np.int64), band, key))
+        sig, key, band = sig[order], key[order], band[order]
+        start = np.r_[True, (key[1:] != key[:-1]) | (band[1:] != band[:-1])][: len(key)]
+        place = np.arange(len(key)) - np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
+        bands = Bands(percent)
+        bands.at(1 << 40)
+        out = np.array([bands.groups(b)[2] if b < 255 else 0 for b in range(int(band.max(initial=0)) + 1)])
+        kept = place >= out[band]
+        sig, key = sig[kept], key[kept]
+        return _packed(2 * buckets, GROUP, sig % U(buckets), sig, key)
+
+    return run
+
+
+def _ties(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() >= buckets:
+            a, b = unpack(group.column("packed"), TIE)
+        else:
+            a, b = _stars(*_distinct(unpack(group.column("packed"), GROUP)))
+        a, b = star_forest(a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -522,11 +573,16 @@ def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     every = described.where("kind = 0").drop("kind", "packed")
     often = spark.sparkContext.broadcast(order_of_shingles(described))  # 2 * SEEN bytes
     entered = known.select("text").mapInArrow(_enter(k, percent, buckets, often), Router.SCHEMA)
-    ties = entered.repartition(p, "bucket").groupBy("bucket").applyInArrow(_ties(percent, buckets), "a long, b long")
+    for step in (_shared(percent, buckets), _rarest(percent, buckets)):
+        entered = entered.repartition(p, "bucket").groupBy("bucket").applyInArrow(step, Router.SCHEMA)
+    ties = entered.repartition(p, "bucket").groupBy("bucket").applyInArrow(_ties(buckets), "a long, b long")
     blocks = components(ties).select(F.col("node").alias("k1"), F.col("component").alias("block"))
     first = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.count("*").alias("n"))
     classes = checkpoint(first.select("k1", "k2", "n", F.col("f.doc_id").alias("rep"), F.col("f.th").alias("th")))
-    placed = classes.join(blocks, "k1").join(known.withColumnRenamed("doc_id", "rep"), ["rep", "th"]).select("rep", "block", "k1", "k2", "text")
+    placed = checkpoint(classes.drop("n").join(blocks, "k1"))
+    asked = sieve(placed.select(F.xxhash64("rep", "th")), placed.count())  # texts of no block aren't shuffled
+    texts = known.withColumnRenamed("doc_id", "rep").where(asked(F.xxhash64("rep", "th")))
+    placed = placed.join(texts, ["rep", "th"]).select("rep", "block", "k1", "k2", "text")
     return every, classes.drop("th"), written(placed.mapInArrow(_sets(k, percent), "rep long, k1 long, k2 long, block long, size int, packed binary"))
 
 

@@ -5,7 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
-from skarn.llm import decontaminate, language_id, license_scan, ngram_join, queries, secret_scan, substring_dedup
+from pyspark.sql import functions as F
+from skarn.llm import common, decontaminate, language_id, license_scan, ngram_join, queries, secret_scan, substring_dedup
 from skarn.llm.textkit import Words, byte_values, not_space
 
 SCHEMA = "doc_id long, text string, block int, rep long"  # the last two clash with inner names
@@ -197,6 +198,31 @@ def test_many_short_texts_that_share_shingles(spark):
     assert all(got[30_000 + i] == i for i in range(50)) and sum(i != c for i, c in got.items()) == 50
 
 
+def test_passages_that_documents_share_do_not_chain_them(spark):
+    """Each document shares a passage with the next one: they make no block, but for those that link."""
+    r = random.Random(23)
+    words = [f"w{k}" for k in range(50_000)]
+    passages = [r.choices(words, k=50) for _ in range(150)]
+    rows = [(i, " ".join([*passages[i - 1], *r.choices(words, k=220), *passages[i]])) for i in range(150)]
+    rows += [(1000 + i, rows[i][1].replace(" ", " changed ", 1)) for i in range(0, 150, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, _, sets = ngram_join._prepare(docs, 5, 80)
+    assert sets.groupBy("block").count().agg({"count": "max"}).first()[0] <= 4
+    assert joined(spark, rows, 5, 80) == brute_components(rows, 5, 80)
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 10])
+def test_sieve_passes_all_keys_and_stops_most_others(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "SIEVE_BITS", bits)
+    monkeypatch.setattr(common, "SIEVE_PIECE", 100)
+    keys, more = spark.range(0, 1000, 1, 3), spark.range(0, 20_000, 1, 3)
+    asked = common.sieve(keys.select(F.xxhash64("id")), 1000)
+    passed = {x["id"] for x in more.where(asked(F.xxhash64("id"))).collect()}
+    assert set(range(1000)) <= passed and (len(passed) < 2000 or bits == 1 << 10)
+    none = common.sieve(keys.where("id < 0").select(F.xxhash64("id")), 0)
+    assert more.where(none(F.xxhash64("id"))).count() == 0
+
+
 @pytest.mark.parametrize("percent", [30, 80])
 def test_count_tree_keeps_all_that_can_pass(monkeypatch, percent):
     monkeypatch.setattr(ngram_join, "LEAF", 4)
