@@ -238,6 +238,7 @@ def sieve(keys: DataFrame, rows: int) -> Callable[[Column], Column]:
 
 
 FOREST_EDGES = 1 << 21
+FEW_EDGES = 1 << 20
 
 
 def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,14 +296,14 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour (a grouped minimum and a join); edges of hot nodes, such as the centre of a large
     group, stay where they are and meet the minimum by a broadcast of bounded size.  The second
     makes star forests of the edges within tasks, before and after they are dealt by their larger
-    node, so that a hot one has no more than an edge per task.  Nodes without an edge to another
-    node are not returned.
+    node, so that a hot one has no more than an edge per task.  Edges of no more than ``FEW_EDGES``
+    are one task's work at once.  Nodes without an edge to another node are not returned.
     """
     p = width(edges.sparkSession)
     stars = lambda e: e.repartition(p, "u").mapInArrow(_forests(True), "u long, v long")
     first = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     e = checkpoint(stars(first.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
-    while True:
+    while e.count() > FEW_EDGES:
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up")))
         degree = ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
         state = degree.agg(F.max("up").alias("up"), F.max("n").alias("n"), F.sum("n").alias("rows"), F.max(((F.col("up") > 0) & (F.col("up") < F.col("n"))).cast("int")).alias("chained")).first()
@@ -312,6 +313,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count("*").alias("n"))
         near = spread_join(both, least, state["rows"], ["u"]) if state["n"] > hot_above(state["rows"]) else both.join(least.drop("n"), "u")
         e = checkpoint(stars(near.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).mapInArrow(_forests(False), "u long, v long")))
+    else:
+        e = checkpoint(e.coalesce(1).mapInArrow(_forests(True), "u long, v long"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from skarn.llm import ann_forest, common, mixing, quality, url_filters
 
@@ -26,6 +27,19 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_of_few_edges_take_one_round(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    rounds, keep = [], common.checkpoint
+    monkeypatch.setattr(common, "checkpoint", lambda df: rounds.append(1) or keep(df))
+    path = list(range(60))
+    random.Random(3).shuffle(path)
+    edges = spark.createDataFrame(list(zip(path, path[1:], strict=False)) + [(100, 101)], "a long, b long").repartition(4)
+    got = {x["node"]: x["component"] for x in common.components(edges).collect()}
+    assert got == {**dict.fromkeys(path, 0), 100: 100, 101: 100}
+    assert few == 0 or len(rounds) == 2
+
+
 def test_bounded_sample(spark):
     rows = spark.range(5000).withColumnRenamed("id", "doc_id")
     got = [r["doc_id"] for r in common.bounded_sample(rows, 100, "doc_id").collect()]
