@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import os
 import tempfile
@@ -134,6 +136,46 @@ def unpack(packed: pa.ChunkedArray, fields: list[str]) -> list[np.ndarray]:
     return [np.concatenate(o) if o else np.zeros(0, f) for o, f in zip(out, fields, strict=True)]
 
 
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL(None)
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Returns memory that this process has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, a function of an iterator of batches, which gives its memory back when it ends.
+
+    Workers serve one task after the other, of all stages; what allocators keep of the largest task
+    adds to the executor's memory for as long as the worker lives."""
+
+    def leanly(batches):
+        yield from run(batches)
+        give_back()
+
+    return leanly
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same for a function of a group's table."""
+
+    def leanly(group: pa.Table) -> pa.Table:
+        out = run(group)
+        give_back()
+        return out
+
+    return leanly
+
+
 def free(taken: Iterable[str], name: str) -> str:
     """``name``, with underscores behind it until no column of ``taken`` has it, in any case."""
     known = {t.lower() for t in taken}
@@ -225,7 +267,7 @@ def sieve(keys: DataFrame, rows: int) -> Callable[[Column], Column]:
     bits a key, at most ``SIEVE_BITS`` of them, whatever the number of keys; with more keys more others pass."""
     bits = min(SIEVE_BITS, 1 << max(10, (16 * rows - 1).bit_length()))
     schema, whole = "at long, packed binary", np.zeros(bits // 8, np.uint8)
-    for r in keys.mapInArrow(_sieve(bits), schema).groupBy("at").applyInArrow(_either, schema).collect():  # SIEVE_BITS / 8 / SIEVE_PIECE rows at most
+    for r in keys.mapInArrow(lean(_sieve(bits)), schema).groupBy("at").applyInArrow(_either, schema).collect():  # SIEVE_BITS / 8 / SIEVE_PIECE rows at most
         part = np.frombuffer(zlib.decompress(r["packed"]), np.uint8)
         whole[r["at"] : r["at"] + len(part)] = part
     shared = keys.sparkSession.sparkContext.broadcast(whole)
@@ -300,7 +342,7 @@ def components(edges: DataFrame) -> DataFrame:
     are one task's work at once.  Nodes without an edge to another node are not returned.
     """
     p = width(edges.sparkSession)
-    stars = lambda e: e.repartition(p, "u").mapInArrow(_forests(True), "u long, v long")
+    stars = lambda e: e.repartition(p, "u").mapInArrow(lean(_forests(True)), "u long, v long")
     first = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     e = checkpoint(stars(first.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
     while e.count() > FEW_EDGES:
@@ -312,9 +354,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count("*").alias("n"))
         near = spread_join(both, least, state["rows"], ["u"]) if state["n"] > hot_above(state["rows"]) else both.join(least.drop("n"), "u")
-        e = checkpoint(stars(near.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).mapInArrow(_forests(False), "u long, v long")))
+        e = checkpoint(stars(near.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).mapInArrow(lean(_forests(False)), "u long, v long")))
     else:
-        e = checkpoint(e.coalesce(1).mapInArrow(_forests(True), "u long, v long"))
+        e = checkpoint(e.coalesce(1).mapInArrow(lean(_forests(True)), "u long, v long"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

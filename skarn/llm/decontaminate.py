@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plainly
+from .common import lean, plainly
 from .textkit import Words, alphanumeric, byte_values, runs
 
 BLOCK_BYTES = 16 << 20
@@ -172,5 +172,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, budget: float = 0.15) -
     items is a further pass over the documents."""
     plain = plainly(docs)
     for items in item_blocks(benchmark, budget):
-        plain = plain.mapInArrow(_without(items), plain.schema)
+        plain = plain.mapInArrow(lean(_without(items)), plain.schema)
     return plain.toDF(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classifier import Classifier
-from .common import bounded_sample, column, plainly, sample_texts, with_fields, written
+from .common import bounded_sample, column, lean, plainly, sample_texts, with_fields, written
 from .textkit import Words, byte_values, not_space, runs
 
 #: Shares of tokens that the mixture aims at, by domain.
@@ -120,7 +120,7 @@ def fit(base: DataFrame, targets: dict[str, float], steps: int = 60, pull: float
 
     def sums(history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         width = k + k * k
-        rows = base.select("n_tokens", "posterior").mapInArrow(_sums(history, pull, k), ", ".join(f"d{c} double" for c in range(width)))
+        rows = base.select("n_tokens", "posterior").mapInArrow(lean(_sums(history, pull, k)), ", ".join(f"d{c} double" for c in range(width)))
         row = rows.agg(*(F.sum(f"d{c}").alias(f"d{c}") for c in range(width))).first()
         x = np.array([row[c] or 0.0 for c in range(width)])
         return x[:k], x[k:].reshape(k, k)
@@ -167,7 +167,7 @@ def mix_to_targets(docs: DataFrame, model: Classifier | None, targets: dict[str,
     named = [c for c in docs.columns if c.lower() not in outputs]
     docs = plainly(docs.select(*map(column, named)))
     kept = docs if keep_text else docs.drop("text")
-    base = written(docs.mapInArrow(_posteriors(model, domains, "n_tokens", "posterior", keep_text), with_fields(kept.schema, "n_tokens long", "posterior array<double>")))
+    base = written(docs.mapInArrow(lean(_posteriors(model, domains, "n_tokens", "posterior", keep_text)), with_fields(kept.schema, "n_tokens long", "posterior array<double>")))
     fitted = fit(base, targets, steps, pull, tolerance)
-    out = base.mapInArrow(_apply(fitted.steps, pull, k, "posterior", "rate"), with_fields(base.schema, "rate double"))
+    out = base.mapInArrow(lean(_apply(fitted.steps, pull, k, "posterior", "rate")), with_fields(base.schema, "rate double"))
     return out.toDF(*(c for c in named if c != "text" or keep_text), *outputs), fitted

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Router, checkpoint, components, parts, sieve, spread_join, star_forest, text_bytes, unpack, width, written
+from .common import Router, checkpoint, components, lean, lean_group, parts, sieve, spread_join, star_forest, text_bytes, unpack, width, written
 from .textkit import Words, byte_values, mix, not_space, runs
 
 RATIO = 1.3
@@ -547,7 +547,7 @@ def _deal(sets: DataFrame, tiles: DataFrame, percent: int, pairs: str, whole: bo
     if pairs == "two":
         placed = placed.where("chunk <> other")
     out = placed.select("block", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"), "rep", "k1", "k2", "chunk", "tiles", "size", "packed")
-    return out.repartition(width(sets.sparkSession), "block", "ti", "tj").sortWithinPartitions("block", "ti", "tj").mapInArrow(_tiles(percent, whole, heads), TILED)
+    return out.repartition(width(sets.sparkSession), "block", "ti", "tj").sortWithinPartitions("block", "ti", "tj").mapInArrow(lean(_tiles(percent, whole, heads)), TILED)
 
 
 def _tile_counts(sets: DataFrame) -> DataFrame:
@@ -569,13 +569,13 @@ def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     p = width(spark)
     known = docs.where("doc_id IS NOT NULL")
     buckets = parts(text_bytes(known), 4 << 20)
-    described = checkpoint(docs.mapInArrow(_describe(k, percent), DESCRIPTION))
+    described = checkpoint(docs.mapInArrow(lean(_describe(k, percent)), DESCRIPTION))
     every = described.where("kind = 0").drop("kind", "packed")
     often = spark.sparkContext.broadcast(order_of_shingles(described))  # 2 * SEEN bytes
-    entered = known.select("text").mapInArrow(_enter(k, percent, buckets, often), Router.SCHEMA)
+    entered = known.select("text").mapInArrow(lean(_enter(k, percent, buckets, often)), Router.SCHEMA)
     for step in (_shared(percent, buckets), _rarest(percent, buckets)):
-        entered = entered.repartition(p, "bucket").groupBy("bucket").applyInArrow(step, Router.SCHEMA)
-    ties = entered.repartition(p, "bucket").groupBy("bucket").applyInArrow(_ties(buckets), "a long, b long")
+        entered = entered.repartition(p, "bucket").groupBy("bucket").applyInArrow(lean_group(step), Router.SCHEMA)
+    ties = entered.repartition(p, "bucket").groupBy("bucket").applyInArrow(lean_group(_ties(buckets)), "a long, b long")
     blocks = components(ties).select(F.col("node").alias("k1"), F.col("component").alias("block"))
     first = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.count("*").alias("n"))
     classes = checkpoint(first.select("k1", "k2", "n", F.col("f.doc_id").alias("rep"), F.col("f.th").alias("th")))
@@ -583,7 +583,7 @@ def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     asked = sieve(placed.select(F.xxhash64("rep", "th")), placed.count())  # texts of no block aren't shuffled
     texts = known.withColumnRenamed("doc_id", "rep").where(asked(F.xxhash64("rep", "th")))
     placed = placed.join(texts, ["rep", "th"]).select("rep", "block", "k1", "k2", "text")
-    return every, classes.drop("th"), written(placed.mapInArrow(_sets(k, percent), "rep long, k1 long, k2 long, block long, size int, packed binary"))
+    return every, classes.drop("th"), written(placed.mapInArrow(lean(_sets(k, percent)), "rep long, k1 long, k2 long, block long, size int, packed binary"))
 
 
 def _linked(sets: DataFrame, percent: int) -> DataFrame:

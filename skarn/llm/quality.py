@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .classifier import Classifier
-from .common import bounded_sample, checkpoint, column, free, plainly, sample_texts, spread_join, with_fields, written
+from .common import bounded_sample, checkpoint, column, free, lean, plainly, sample_texts, spread_join, with_fields, written
 from .textkit import runs
 
 LABELS = ["good", "low", "toxic"]
@@ -56,7 +56,7 @@ def _evidence(model: Classifier | None, name: str, text: str | None):
 def with_evidence(docs: DataFrame, model: Classifier | None, name: str = "p_text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``name``, the posterior of a text to be low or toxic; 0 without a model."""
     kept = docs if keep_text else docs.drop("text")
-    return docs.mapInArrow(_evidence(model, name, "text" if keep_text else None), with_fields(kept.schema, f"`{name}` double"))
+    return docs.mapInArrow(lean(_evidence(model, name, "text" if keep_text else None)), with_fields(kept.schema, f"`{name}` double"))
 
 
 def _strength(n: Column, rate: Column, mean: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpoint, plainly
+from .common import bounded_sample, checkpoint, lean, plainly
 from .textkit import buffers
 
 SHORTEST = 12
@@ -246,7 +246,7 @@ def train(docs: DataFrame, examples: int = 3000, recall: float = 0.99, sample: i
     synthetic secrets, which stand between the contexts of clean runs; None without clean runs."""
     learn = bounded_sample(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id"), sample, "doc_id").distinct()
     learn = docs.join(F.broadcast(learn), "doc_id", "left_semi")  # ``sample`` ids: a stated bound
-    found = checkpoint(learn.select("text").mapInArrow(_examples, "label int, window string, order long"))
+    found = checkpoint(learn.select("text").mapInArrow(lean(_examples), "label int, window string, order long"))
     rows = [(r["label"] == 1, r["window"]) for kind in (0, 1, 2, 3) for r in bounded_sample(found.where(F.col("label") == kind), examples, "order", "window").collect()]
     around = [w for told, w in rows if not told]
     if not around:
@@ -363,4 +363,4 @@ def secret_scan_in_place(docs: DataFrame, model: CharCNN | None = None, mask: st
     columns stay as they are, whatever their names."""
     model = train(docs.select("doc_id", "text"), examples) if model is None else model
     plain = plainly(docs)
-    return plain.mapInArrow(_mask(model, mask), plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(lean(_mask(model, mask)), plain.schema).toDF(*docs.columns)

@@ -1,6 +1,9 @@
 """The corpus pipeline on small tables with odd rows and columns."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -84,3 +87,38 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "mixing sources to target weights"]
+
+
+HELD = """
+import re
+import numpy as np
+from skarn.llm import common
+
+def resident():
+    return int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+
+def run(batches):
+    for _ in batches:
+        held = [np.ones(12_500) for _ in range(1500)]  # 150 MB in pieces
+        kept.extend(held[::50])  # what lives on stands between them
+        yield resident()
+
+kept = []
+before = resident()
+during = list(common.lean(run)(iter([0])))[0]
+print(before, during, resident())
+"""
+
+
+def test_worker_functions_give_memory_back():
+    root = Path(__file__).resolve().parents[2]
+    before, during, after = map(int, subprocess.run([sys.executable, "-c", HELD], cwd=root, capture_output=True, text=True, check=True).stdout.split())
+    assert during - before > 120 and after - before < 40
+
+
+def test_pipeline_gives_memory_back_after_each_task(spark, tmp_path, monkeypatch):
+    tables(spark, str(tmp_path))
+    kind, names = type(spark.range(1)), []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, real=kind.mapInArrow, **b: names.append(f.__name__) or real(self, f, *a, **b))
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert len(names) > 10 and set(names) == {"leanly"}
